@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fingerloom.llm.bpe import op2_bpe
+from fingerloom.llm.simhash import op4_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLES: dict[str, str] = {}
