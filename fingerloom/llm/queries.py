@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fingerloom.llm.bpe import op2_bpe
+from fingerloom.llm import warc
+from fingerloom.llm.decontaminate import op1_decontaminate
 from fingerloom.llm.langid import op9_langid
 from fingerloom.llm.quality import op10_quality
 from fingerloom.llm.rules import op5_rules
@@ -15,13 +17,17 @@ from fingerloom.llm.simhash import op4_simhash
 from fingerloom.llm.urls import op3_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_urls": op3_urls,
     "op4_simhash": op4_simhash,
     "op5_rules": op5_rules,
     "op6_secrets": op6_secrets,
+    "op8_warc": warc.op8_warc,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc": warc.ORACLE,
+}
