@@ -11,6 +11,7 @@ from fingerloom.llm import warc
 from fingerloom.llm.decontaminate import op1_decontaminate
 from fingerloom.llm.langid import op9_langid
 from fingerloom.llm.quality import op10_quality
+from fingerloom.llm.repeats import op7_repeats
 from fingerloom.llm.rules import op5_rules
 from fingerloom.llm.secrets import op6_secrets
 from fingerloom.llm.simhash import op4_simhash
@@ -23,11 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_rules": op5_rules,
     "op6_secrets": op6_secrets,
+    "op7_repeats": op7_repeats,
     "op8_warc": warc.op8_warc,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_repeats": op7_repeats,
     "op8_warc": warc.ORACLE,
 }
