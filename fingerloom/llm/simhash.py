@@ -16,9 +16,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fingerloom.llm.common import as_bytes, keep, table, text_slices
 from fingerloom.llm.graph import components
+from fingerloom.llm.ngrams import MIX, STEP, joined, mixed, word_hashes
 
 BLOCKS = 6
 #: Fingerprints under one key that are compared in one group; more are dealt out as pairs of chunks.
@@ -157,3 +159,136 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 3, id_column: str
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+
+
+# Groups down to a wanted similarity of word shingles.
+
+#: Words of a segment on average, and the least that make one a block.
+SEGMENT_WORDS = 16
+LEAST_SEGMENT = 6
+#: Fingerprints of texts with a similarity of 0.8 differ in 10 of 64 bits on average; 2 in 10,000 such pairs in more than 20.
+WIDE_RADIUS = 20
+
+
+def _majority(bits: np.ndarray, cuts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints of runs of rows of `bits` that begin at `cuts`."""
+    ones = np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def profiles(texts: list[bytes], size: int) -> list[tuple[int, int, np.ndarray]]:
+    """(shingles, fingerprint, block keys) of each text, from vectorised hashes of lower-cased words.
+
+    A text is cut after word pairs whose hash says so, so that texts with a common passage have
+    its segments in common. The keys are the fingerprints of the whole text and of its segments of
+    at least LEAST_SEGMENT words.
+    """
+    data, starts = joined([t.lower() for t in texts])
+    words, owner = word_hashes(data, starts)
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    out = []
+    for a, b in zip(bounds, bounds[1:]):
+        own = words[a:b]
+        n = len(own)
+        width = min(size, n)
+        if not n:
+            out.append((0, 0, np.zeros(1, np.int64)))
+            continue
+        h = np.zeros(n - width + 1, np.uint64)
+        for k in range(width):
+            h = mixed(h * STEP + own[k : k + len(h)])
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = _majority(bits, np.zeros(1, np.int64), np.array([len(h)]))
+        keys = [whole]
+        if n >= 2 * LEAST_SEGMENT:
+            pair = mixed(own[:-1] * MIX + own[1:])
+            edges = np.r_[0, np.flatnonzero(pair % np.uint64(SEGMENT_WORDS) == 0) + 2, n]
+            first, last = edges[:-1], np.minimum(edges[1:], n) - width + 1
+            long_ = (last - first + width - 1 >= LEAST_SEGMENT) & (last > first)
+            first, last = first[long_], last[long_]
+            if len(first):
+                pieces = np.ravel(np.column_stack([first, last]))
+                # Rows between one segment's last shingle and the next one's first are in no segment.
+                ones = np.add.reduceat(np.concatenate([bits, np.zeros((1, 64), np.uint8)]), pieces, axis=0, dtype=np.int32)[::2]
+                marks = np.packbits(2 * ones > (last - first)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+                keys.append(mixed(marks + (last - first).astype(np.uint64)))
+        out.append((len(h), int(whole.view(np.int64)[0]), np.unique(np.concatenate(keys)).view(np.int64)))
+    return out
+
+
+def jaccard(a: bytes, b: bytes, size: int) -> float:
+    """Similarity of two texts' sets of word shingles; a text of fewer words is one shingle."""
+    sets = []
+    for raw in (a, b):
+        words = raw.lower().split()
+        sets.append(set(zip(*[words[k:] for k in range(size)])) if len(words) >= size else {tuple(words)})
+    shared = len(sets[0] & sets[1])
+    return shared / (len(sets[0]) + len(sets[1]) - shared)
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, t1, t2, component): groups of documents linked by a shingle similarity of at least `similarity`.
+
+    Pigeonhole over segments: a pair that is so similar differs in fewer places than it has
+    segments, so it shares one. Each document meets two others of each block it is in (the
+    smallest and the largest text hash), which keeps a block's links linear in its size. Pairs
+    whose fingerprints differ in at most `radius` bits are candidates as well. Candidates are
+    verified by size, by Hamming distance (WIDE_RADIUS) and then by the exact similarity.
+
+    t1 and t2 are two hashes of the text; equal texts are one node, named by t1. Null text counts
+    as empty, and all wordless texts are one group. Null ids and repeated rows stay.
+    """
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    named = docs.select(id_column, F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    texts = docs.select(F.xxhash64(text).alias("t1"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in text_slices(batch, 1, 1 << 20):
+                nodes = part.column(0).to_pylist()
+                new = [i for i, t in enumerate(nodes) if not (t in seen or seen.add(t))]
+                if not new:
+                    continue
+                found = profiles(as_bytes(part.column(1).take(pa.array(new, pa.int64()))), size)
+                made = [pa.array([nodes[i] for i in new], pa.int64()), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(made, names=["t1", "n", "fp", "keys"])
+
+    nodes = keep(texts.mapInArrow(run, "t1 long, n int, fp long, keys array<long>"), "profiles")
+    blocks = nodes.select("t1", F.explode("keys").alias("key")).distinct()
+    ends = blocks.groupBy("key").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo < hi")
+    met = blocks.join(ends, "key").select("t1", F.explode(F.array("lo", "hi")).alias("other")).filter("t1 <> other")
+    named_fp = nodes.groupBy("fp").agg(F.min("t1").alias("t1"))
+    close = close_edges(named_fp.select("fp"), radius)
+    close = close.join(named_fp.toDF("a", "t1"), "a").join(named_fp.toDF("b", "other"), "b").select("t1", "other")
+    met = met.unionByName(close).select(F.least("t1", "other").alias("a"), F.greatest("t1", "other").alias("b")).distinct()
+    sides = nodes.groupBy("t1").agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
+    pairs = met.join(sides.toDF("a", "na", "fa"), "a").join(sides.toDF("b", "nb", "fb"), "b")
+    # A text's set of shingles is no larger than its number of shingles, so sizes alone decide nothing for texts that repeat themselves.
+    pairs = keep(pairs.filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= WIDE_RADIUS).select("a", "b"), "pairs")
+    wanted = pairs.select(F.col("a").alias("t1")).union(pairs.select(F.col("b").alias("t1"))).distinct()
+    chosen = keep(texts.join(wanted, "t1", "left_semi").dropDuplicates(["t1"]), "texts")
+    both = pairs.join(chosen.toDF("a", "ta"), "a").join(chosen.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 2):
+                good = [jaccard(x, y, size) >= similarity for x, y in zip(as_bytes(part.column(2)), as_bytes(part.column(3)))]
+                yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    roots = components(both.mapInArrow(verify, "a long, b long"))
+    return named.join(roots.withColumnRenamed("node", "t1"), "t1", "left").select(id_column, "t1", "t2", F.coalesce("root", "t1").alias("component"))
+
+
+def first_of_groups(docs: DataFrame, grouped: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs` that stay: of each component of similar_groups(docs) the one with the smallest id.
+
+    Null ids come last; of rows with the same id and text one stays.
+    """
+    order = F.struct(F.col(id_column).isNull(), F.col(id_column).alias("id"), "t1", "t2")
+    stay = grouped.groupBy("component").agg(F.min(order).alias("w")).select(F.col("w.id").alias("__id"), F.col("w.t1").alias("__t1"), F.col("w.t2").alias("__t2"))
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    marked = docs.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit(1), text)})
+    kept = marked.join(stay, (marked["__a"] == stay["__t1"]) & (marked["__b"] == stay["__t2"]) & marked[id_column].eqNullSafe(stay["__id"]))
+    one = F.row_number().over(Window.partitionBy("__t1", "__t2", "__id").orderBy(*[c for c, kind in docs.dtypes if kind in ("string", "bigint", "int")]))
+    return kept.withColumn("__n", one).filter("__n = 1").select(*docs.columns)
