@@ -120,7 +120,7 @@ class ItemIndex:
                 return []
         hits = np.r_[0, np.cumsum(hit)]
         best: dict[int, tuple[float, int, int]] = {}
-        for size, _ in self.by_size.items():
+        for size in self.by_size:
             width = min(size, len(numbers))
             starts = np.arange(len(numbers) - width + 1)
             if width < SHINGLE:
@@ -132,6 +132,8 @@ class ItemIndex:
             for s in starts.tolist():
                 part = shingles[s : s + width - SHINGLE + 1] if width >= SHINGLE else self.shingles(numbers[s : s + width])
                 for i in self.within(simhash_of(self.spread(part).sum(axis=0, dtype=np.int64), len(part))):
+                    if self.sizes[i] != size:
+                        continue
                     own, other = Counter(part.tolist()), self.counts[i]
                     shared = sum((own & other).values())
                     similarity = shared / (len(part) + other.total() - shared)

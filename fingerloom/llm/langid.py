@@ -98,6 +98,8 @@ class LanguageModel:
         return x @ self.landmarks @ self.weights
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         blocks: list[np.ndarray] = []
         owner: list[int] = []
         seen = np.zeros(len(texts), bool)
@@ -117,7 +119,7 @@ class LanguageModel:
             np.add.at(weight, whose, sizes)
         out = []
         for i in range(len(texts)):
-            if not seen[i] or not self.languages:
+            if not seen[i]:
                 out.append((UNKNOWN, 0.0))
                 continue
             z = SHARPNESS * total[i] / weight[i]
