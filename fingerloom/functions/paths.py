@@ -23,6 +23,11 @@ def join_path(*parts: Column) -> Column:
     return F.concat_ws("/", *[F.nullif(p, F.lit("")) for p in parts])
 
 
+def full_path(mount: Column, rel_path: Column) -> Column:
+    """A mount and a path in it as one path; '' is the mount itself."""
+    return F.when(rel_path == "", mount).when(mount == "/", F.concat(F.lit("/"), rel_path)).otherwise(F.concat_ws("/", mount, rel_path))
+
+
 def is_hidden_name(name: Column) -> Column:
     return name.startswith(".")
 

@@ -15,7 +15,7 @@ from fingerloom.functions import paths
 def with_directories(files: DataFrame) -> DataFrame:
     """Adds directory (relative), basename and dir_id."""
     placed = files.withColumns({"directory": paths.dirname(F.col("rel_path")), "basename": paths.basename(F.col("rel_path"))})
-    return placed.withColumn("dir_id", F.when(F.col("directory") == "", F.col("mount")).otherwise(F.concat_ws("/", "mount", "directory")))
+    return placed.withColumn("dir_id", paths.full_path(F.col("mount"), F.col("directory")))
 
 
 def visible_directories(files: DataFrame, no_junk: bool = False) -> DataFrame:
