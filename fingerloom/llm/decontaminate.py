@@ -6,8 +6,8 @@ fingerprint is the SimHash of its five-word shingles. A multi-index over the ite
 it, and candidates are verified by the exact weighted similarity of the shingles (sum of the
 smaller multiplicities over the sum of the larger).
 
-Windows that lack the shingles for the wanted similarity, all items taken together, are not
-fingerprinted; such a window is similar to no item, so nothing is lost.
+Windows that lack the shingles for the wanted similarity, all items of their size taken together,
+are not fingerprinted; such a window is similar to no item of that size, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fingerloom.llm.common import as_texts, table, text_slices
+from fingerloom.llm.ngrams import STEP, joined, mixed, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,43 +32,62 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2  # find all within BLOCKS * (BLOCK_RA
 ITEM_BYTES = 32 << 20
 
 _WORD = re.compile(r"\w+")
+_FOREIGN_BREAK = re.compile(r"[^\w\x00-\x7f]+")
+#: Bytes that are in no word: ASCII but letters, digits and the underscore.
+_BETWEEN = np.array([b < 128 and not (chr(b).isalnum() or b == 95) for b in range(256)])
+_FILTER_BITS = 22
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def simhash_of(bits: np.ndarray, n: int) -> int:
-    return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of words_of, and the number of its text."""
+    clean = [t.lower() if t.isascii() else _FOREIGN_BREAK.sub(" ", t.lower()) for t in texts]
+    return word_hashes(*joined([t.encode("utf-8", "surrogatepass") for t in clean]), _BETWEEN)
+
+
+def shingles_of(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` words."""
+    h = np.full(max(0, len(words) - width + 1), width, np.uint64)
+    for k in range(width):
+        h = mixed(h * STEP + words[k : k + len(h)])
+    return h
+
+
+def simhash_of(shingles: np.ndarray) -> int:
+    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(shingles), bitorder="little").view("<u8")[0])
 
 
 class ItemIndex:
-    """Items by word and shingle, and their fingerprints by block."""
+    """Items' shingles, and their fingerprints by block."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.vocabulary: dict[str, int] = {}
         self.ids: list[int] = []
         self.counts: list[Counter] = []
         self.sizes: list[int] = []  # words
-        hashes: set[int] = set()
         prints: list[int] = []
-        self.bits: dict[int, np.ndarray] = {}
-        for item_id, text in items:
-            words = words_of(text)
-            if not words:
+        words, owner = hashed_words([t for _, t in items])
+        cuts = np.searchsorted(owner, np.arange(len(items) + 1))
+        for (item_id, _), a, b in zip(items, cuts, cuts[1:]):
+            if a == b:
                 continue
-            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            shingles = self.shingles(numbers)
+            shingles = shingles_of(words[a:b], min(SHINGLE, b - a))
             self.ids.append(item_id)
-            self.sizes.append(len(words))
+            self.sizes.append(int(b - a))
             self.counts.append(Counter(shingles.tolist()))
-            hashes.update(shingles.tolist())
-            prints.append(simhash_of(self.spread(shingles).sum(axis=0, dtype=np.int64), len(shingles)))
-        self.known = np.array(sorted(hashes), np.uint64)
+            prints.append(simhash_of(shingles))
+        self.sizes_with: dict[int, set[int]] = defaultdict(set)  # of items that have a shingle
+        for n, c in zip(self.sizes, self.counts):
+            for h in c:
+                self.sizes_with[h].add(n)
+        self.known = np.array(sorted(self.sizes_with), np.uint64)
+        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
+        self.maybe[self.known >> np.uint64(64 - _FILTER_BITS)] = True
         self.prints = np.array(prints, np.uint64)
-        self.by_size: dict[int, list[int]] = defaultdict(list)
-        for i, n in enumerate(self.sizes):
-            self.by_size[n].append(i)
+        self.widths = sorted({min(SHINGLE, n) for n in self.sizes})
         close = [[v for v in range(256) if (u ^ v).bit_count() <= BLOCK_RADIUS] for u in range(256)]
         self.blocks = [[[] for _ in range(256)] for _ in range(BLOCKS)]
         for i, p in enumerate(prints):
@@ -76,25 +95,13 @@ class ItemIndex:
                 for v in close[p >> (b * BLOCK_BITS) & 255]:
                     self.blocks[b][v].append(i)
 
-    @staticmethod
-    def shingles(numbers: np.ndarray) -> np.ndarray:
-        """A hash of each five-word shingle of word numbers; fewer words are one shingle."""
-        if len(numbers) < SHINGLE:
-            return np.array([xxhash.xxh64_intdigest(numbers.tobytes(), 1)], np.uint64)
-        n = len(numbers) - SHINGLE + 1
-        h = np.zeros(n, np.uint64)
-        for k in range(SHINGLE):
-            h = (h ^ numbers[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h
-
-    @staticmethod
-    def spread(shingles: np.ndarray) -> np.ndarray:
-        """The bits of each shingle's hash, one row each."""
-        mixed = shingles * np.uint64(0xC2B2AE3D27D4EB4F)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0x9E3779B97F4A7C15)
-        return np.unpackbits((mixed ^ (mixed >> np.uint64(29))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    def hits(self, shingles: np.ndarray) -> np.ndarray:
+        """Which shingles any item has."""
+        found = self.maybe[shingles >> np.uint64(64 - _FILTER_BITS)]
+        at = np.flatnonzero(found)
+        near = np.minimum(np.searchsorted(self.known, shingles[at]), len(self.known) - 1)
+        found[at] = self.known[near] == shingles[at]
+        return found
 
     def within(self, fingerprint: int) -> list[int]:
         """Every item within RADIUS bits."""
@@ -103,44 +110,46 @@ class ItemIndex:
             found.update(self.blocks[b][fingerprint >> (b * BLOCK_BITS) & 255])
         return [i for i in found if (int(self.prints[i]) ^ fingerprint).bit_count() <= RADIUS]
 
-    def matches(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(item_id, similarity, first word, words) of the best window of each item found in a text."""
-        get = self.vocabulary.get
-        words = words_of(text)
-        numbers = np.array([get(w, 0) for w in words], np.int64)
-        if not numbers.any():
-            return []
-        shingles = self.shingles(numbers)
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        hit = self.known[at] == shingles
-        hit[[not numbers.all()] if len(numbers) < SHINGLE else np.convolve(numbers == 0, np.ones(SHINGLE, int), "valid") > 0] = False
-        if not hit.any():
-            # Items of fewer words than a shingle are compared with windows of their own size.
-            if min(self.sizes) >= SHINGLE:
-                return []
-        hits = np.r_[0, np.cumsum(hit)]
+    def matches_of(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
+        """(item_id, similarity, first word, words) of the best window of each item in one text's words."""
         best: dict[int, tuple[float, int, int]] = {}
-        for size in self.by_size:
-            width = min(size, len(numbers))
-            starts = np.arange(len(numbers) - width + 1)
-            if width < SHINGLE:
-                starts = starts[numbers[: len(starts)] > 0]
-            else:
-                m = width - SHINGLE + 1
-                least = 2 * SIMILARITY / (1 + SIMILARITY) * m if width == size else SIMILARITY * m
-                starts = starts[hits[starts + m] - hits[starts] >= least - 1e-9]
-            for s in starts.tolist():
-                part = shingles[s : s + width - SHINGLE + 1] if width >= SHINGLE else self.shingles(numbers[s : s + width])
-                for i in self.within(simhash_of(self.spread(part).sum(axis=0, dtype=np.int64), len(part))):
+        by_width = {w: shingles_of(words, w) for w in self.widths if w <= len(words)}
+        places: dict[int, list[int]] = defaultdict(list)  # of shingles that items of a size have
+        for width, shingles in by_width.items():
+            for p in np.flatnonzero(self.hits(shingles)).tolist():
+                for n in self.sizes_with[int(shingles[p])]:
+                    if min(n, SHINGLE) == width:
+                        places[n].append(p)
+        for size, at in sorted(places.items()):
+            width = min(size, SHINGLE)
+            shingles = by_width[width]
+            hits = np.r_[0, np.cumsum(np.bincount(at, minlength=len(shingles)))]
+            m = min(size, len(words)) - width + 1
+            total = size - width + 1
+            starts = np.arange(len(shingles) - m + 1)
+            # The shared shingles of a window that is similar enough.
+            least = SIMILARITY / (1 + SIMILARITY) * (m + total)
+            for s in starts[hits[starts + m] - hits[starts] >= least - 1e-9].tolist():
+                part = shingles[s : s + m]
+                for i in self.within(simhash_of(part)):
                     if self.sizes[i] != size:
                         continue
                     own, other = Counter(part.tolist()), self.counts[i]
                     shared = sum((own & other).values())
-                    similarity = shared / (len(part) + other.total() - shared)
+                    similarity = shared / (m + total - shared)
                     if similarity >= SIMILARITY and (i not in best or similarity > best[i][0]):
-                        best[i] = similarity, s, width
+                        best[i] = similarity, s, min(size, len(words))
         return sorted((self.ids[i], *found) for i, found in best.items())
 
+    def matches(self, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
+        """As matches_of for each text, with the text's number first; texts without an item's shingle cost no more than hashing."""
+        words, owner = hashed_words(texts)
+        touched: set[int] = set()
+        for width in self.widths:
+            touched.update(owner[np.flatnonzero(self.hits(shingles_of(words, width)))].tolist())
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        return [(k, *m) for k in sorted(touched) for m in self.matches_of(words[cuts[k] : cuts[k + 1]])]
+
 
 def contaminations(docs: DataFrame, items: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, item_id, similarity, first_word, n_words) for each benchmark item that a document's text holds.
@@ -169,11 +178,8 @@ def contaminations(docs: DataFrame, items: DataFrame, id_column: str = "doc_id")
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(shared.value)
             for batch in batches:
-                for part in text_slices(batch, 1):
-                    rows = []
-                    if index.ids:
-                        for k, text in enumerate(as_texts(part.column(1))):
-                            rows += [(k, *m) for m in index.matches(text)]
+                for part in text_slices(batch, 1, 1 << 20):
+                    rows = index.matches(as_texts(part.column(1))) if index.ids else []
                     if rows:
                         columns = list(zip(*rows))
                         made = [part.column(0).take(pa.array(columns[0], pa.int64()))]

@@ -27,10 +27,10 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(GAP.join([*texts, b""]), np.uint8), starts.astype(np.int64)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (run of bytes but ASCII white space) and the number of its text."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word and the number of its text; `between` says which bytes are in no word (ASCII white space)."""
     global _powers
-    space = _SPACE[data]
+    space = between[data]
     begin = np.flatnonzero(~space & np.r_[True, space[:-1]])
     if not len(begin):
         return np.empty(0, np.uint64), np.empty(0, np.int64)

@@ -58,6 +58,15 @@ def test_multi_index_finds_all_within_radius():
         assert set(index.within(fp)) == {k for k, p in enumerate(index.prints.tolist()) if (p ^ fp).bit_count() <= decontaminate.RADIUS}
 
 
+def test_hashed_words_are_the_words():
+    texts = ["Ünï_c0de – “quoted” naïve…x", "", "A b\u00a0c\u2014d 中文，字 ²x\u0301", "don't 12.5 __ a"]
+    hashes, owner = decontaminate.hashed_words(texts)
+    words = [(i, w) for i, t in enumerate(texts) for w in decontaminate.words_of(t)]
+    assert owner.tolist() == [i for i, _ in words]
+    by = {}
+    assert all(by.setdefault(w, h) == h for (_, w), h in zip(words, hashes.tolist())) and len(set(by.values())) == len(by)
+
+
 def test_decontamination_odd_rows(spark, monkeypatch):
     text = "a quick brown fox jumps over the lazy dog near the river bank today"
     items = spark.createDataFrame([(1, text, 0), (1, text, 0), (2, None, 0), (None, "", 0), (3, "two words", 0)], "item_id long, text string, doc_id int")
