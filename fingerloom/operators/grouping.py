@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fingerloom.functions import paths
+from fingerloom.operators.numbering import numbered
 from fingerloom.sources.staging import staged
 
 def walk_rank() -> Column:
@@ -43,9 +43,7 @@ def build_groups(pairs: DataFrame, threshold: float) -> DataFrame:
         up = now.select(F.col("dir_id").alias("to"), F.col("to").alias("next"))
         now = staged(now.join(up, "to").select("dir_id", F.col("next").alias("to"), (F.col("to") != F.col("next")).cast("long").alias("moved")), "pointers")
     founders = best.join(other, "partner").filter(founder & (F.col("dir_id") == F.col("rank.a"))).select(F.col("dir_id").alias("to"), "rank")
-    # One row for each group: the only ordering over all of something.
-    numbered = founders.select("to", F.row_number().over(Window.orderBy("rank")).cast("long").alias("group_id"))
-    return now.join(numbered, "to").select("dir_id", "group_id")
+    return now.join(numbered(founders, "group_id", "rank").select("to", "group_id"), "to").select("dir_id", "group_id")
 
 
 def best_pair(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -100,5 +98,5 @@ def report(index: DataFrame, groups: DataFrame, pairs: DataFrame, stats: DataFra
     else:
         heads = heads.join(stats, "group_id", "left")
         weight = -F.coalesce(F.col("n_files" if sort == "files" else "total_size"), F.lit(0))
-    heads = heads.withColumn("position", F.row_number().over(Window.orderBy(weight, "group_id")).cast("long"))
+    heads = numbered(heads.withColumn("weight", weight), "position", "weight", "group_id")
     return groups.join(heads.select("group_id", "position", "members", "best"), "group_id").select("position", "group_id", "members", "best", F.col("dir_id").alias("path"))

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fingerloom.functions import paths
+from fingerloom.operators.numbering import numbered
 
 IDENTITY = ["mount", "rel_path"]
 #: Columns that a write without them preserves.
@@ -76,8 +76,8 @@ def extend_mounts(known: DataFrame, paths_seen: DataFrame) -> DataFrame:
     """Known (id, path) and new paths with the next ids in order of the path; a small dimension."""
     new = paths_seen.select("path").distinct().join(known, "path", "left_anti")
     top = known.agg(F.max("id")).first()[0] or 0
-    numbered = new.withColumn("id", (F.row_number().over(Window.orderBy("path")) + top).cast("long"))
-    return known.select("id", "path").unionByName(numbered.select("id", "path"))
+    added = numbered(new, "k", "path").select((F.col("k") + top).alias("id"), "path")
+    return known.select("id", "path").unionByName(added)
 
 
 def merge_replace(target: DataFrame, sources: DataFrame, source_mounts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import duckdb
 import pytest
 
-from fingerloom.operators import grouping, index, reconcile, similarity
+from fingerloom.operators import grouping, index, numbering, reconcile, similarity
 from fingerloom.plans import registry
 from tests.conftest import MEDIUM, SMALL
 
@@ -115,6 +115,14 @@ def test_moves(spark):
     assert got == {"a": ("A", "match"), "b": (None, "ambiguous"), "c": (None, "ambiguous"), "d": (None, "ambiguous")}
 
 
+def test_numbering(spark):
+    rng = random.Random(8)
+    values = rng.sample(range(1000), 300)
+    got = {r.v: r.n for r in numbering.numbered(spark.createDataFrame([(v,) for v in values], "v long").repartition(7), "n", "v").collect()}
+    assert got == {v: i + 1 for i, v in enumerate(sorted(values))}
+    assert numbering.numbered(spark.createDataFrame([], "v long"), "n", "v").count() == 0
+
+
 def test_merge_twice_is_merge_once(spark):
     target = spark.createDataFrame([("m1", "a", 1), ("m2", "b", 2), ("m3", "c", 3)], "mount string, rel_path string, v int")
     source = spark.createDataFrame([("m1", "z", 9)], "mount string, rel_path string, v int")
