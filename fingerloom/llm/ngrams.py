@@ -13,6 +13,8 @@ GAP = b"\n" * 8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: 1: small letter or part of one beyond ASCII, 2: capital, 3: digit, 4: other.
+_KIND = np.array([1 if chr(b).islower() or b >= 128 else 2 if chr(b).isupper() else 3 if chr(b).isdigit() else 4 for b in range(256)], np.uint8)
 _powers = np.cumprod(np.full(64, STEP))
 
 
@@ -45,6 +47,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, between: np.ndarray = _SPA
     return mixed(np.add.reduceat(value, begin)), np.searchsorted(starts, begin + first, "right") - 1
 
 
+def word_shapes(data: np.ndarray) -> np.ndarray:
+    """For each word, a hash of the kind of its first byte and of its last byte if that is no letter."""
+    space = _SPACE[data]
+    first = _KIND[data[np.flatnonzero(~space & np.r_[True, space[:-1]])]]
+    last = data[np.flatnonzero(~space & np.r_[space[1:], True])]
+    return mixed((first.astype(np.uint64) << np.uint64(8)) + np.where(_KIND[last] < 3, _KIND[last], last).astype(np.uint64) + np.uint64(77))
+
+
 def bigram_hashes(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     same = owner[1:] == owner[:-1]
     return mixed(words[:-1] * STEP + words[1:])[same], owner[1:][same]

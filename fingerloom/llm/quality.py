@@ -1,6 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text's features are the indicators of its hashed words and word pairs, scaled by the classes'
+A text's features are the indicators of its hashed word n-grams: words and word pairs, the same of
+words' shapes, and words that repeat the one or two before them. They are scaled by the classes'
 log-count ratios and to unit length. A linear model with hinge loss is fitted by dual coordinate
 descent, and its margins are turned into probabilities by a logistic curve fitted on a part of
 the sample that the model has not seen.
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fingerloom.llm.common import as_bytes, remainder, table, text_slices
-from fingerloom.llm.ngrams import bigram_hashes, joined, word_hashes
+from fingerloom.llm.ngrams import bigram_hashes, joined, mixed, word_hashes, word_shapes
 from fingerloom.llm.samples import labelled_texts
 
 BUCKET_BITS = 18
@@ -29,12 +30,18 @@ THRESHOLD = 0.3
 
 
 def indicators(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, bucket) of the words and word pairs of a slice of texts."""
+    """Distinct (text number, bucket) of the n-grams of a slice of texts."""
     data, starts = joined(texts)
     words, owner = word_hashes(data, starts)
-    pairs, pair_owner = bigram_hashes(words, owner)
-    buckets = np.concatenate([words, pairs]) >> np.uint64(64 - BUCKET_BITS)
-    keys = np.unique(np.concatenate([owner, pair_owner]) << BUCKET_BITS | buckets.astype(np.int64))
+    shapes = word_shapes(data)
+    same = np.zeros(len(words), np.uint64)  # how many words before are the same, up to two
+    again = words[1:] == words[:-1]
+    again &= owner[1:] == owner[:-1]
+    same[1:] += again
+    same[2:] += again[1:] & again[:-1]
+    kinds = [(words, owner), bigram_hashes(words, owner), (shapes, owner), bigram_hashes(shapes, owner), (mixed(same + np.uint64(1))[same > 0], owner[same > 0])]
+    buckets = np.concatenate([k for k, _ in kinds]) >> np.uint64(64 - BUCKET_BITS)
+    keys = np.unique(np.concatenate([o for _, o in kinds]) << BUCKET_BITS | buckets.astype(np.int64))
     return keys >> BUCKET_BITS, keys & ((1 << BUCKET_BITS) - 1)
 
 
