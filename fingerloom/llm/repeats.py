@@ -1,4 +1,4 @@
-"""Repeated byte strings by merging shards of sorted suffixes.
+"""Repeated byte strings by merging shards' Burrows-Wheeler transforms.
 
 Every string of WINDOW bytes has an anchor: the leftmost of its KMER-byte pieces with the smallest
 hash. Equal strings have their anchors at the same place, so suffixes (and reversed prefixes) need
@@ -6,11 +6,11 @@ to be sorted at anchors only, about one in 170 bytes. Consecutive strings with o
 run; runs are dealt out by a hash of the bytes that all strings of the run share.
 
 Where everything with one key has the same context, all its strings repeat, or none. Elsewhere the
-distinct contexts, which come from all shards of the corpus, are merged by interleave refinement:
-the interleave of the shards' suffixes starts as one block for each key; each pass splits blocks
-by the next symbols of the suffixes that are still in a block with others, and the depth at which
-a boundary appears is the common prefix there. The same is done with the reversed prefixes. A
-string repeats if its suffix and its prefix lie in the same two intervals as another's.
+distinct contexts are strings of eight-byte words. Each shard's strings get their Burrows-Wheeler
+transform, and the shards' transforms are merged by interleave refinement: a pass distributes the
+rows by the symbol before them, which orders by one symbol more, and the pass in which a boundary
+appears is the common prefix there. The same is done with the reversed prefixes. A string repeats
+if its suffix and its prefix lie in the same two intervals as another's.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,9 @@ SLAB = (1 << PLACE_BITS) - WINDOW
 #: Distinct contexts of one key that are merged in one task; a key with more takes counted hashes of its strings.
 MERGED = 20_000
 #: Context bytes that are merged at once (whole keys).
-MERGE_BYTES = 8 << 20
+MERGE_BYTES = 2 << 20
+#: Shards whose transforms are merged at once.
+SHARDS = 4
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -139,39 +142,110 @@ def text_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, dict[str, np.nda
         yield from hashed()
 
 
-def interleave(block: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of suffixes by block and content, and each one's common prefix (bytes) with the one before.
+def shard_bwt(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform and last-to-first mapping of a shard's strings.
 
-    `symbols` has a suffix's bytes in a row. The interleave is refined by eight bytes a pass; only
-    suffixes that still share a block with others take part. Prefixes across blocks count as -1.
+    `strings` has a string of symbols above 0 in each row. Symbol 0 ends each; the ends sort by
+    the number of their string, so rows 0 to n - 1 of the transform are the strings' ends. The
+    transform has 0 where a row is a whole string, and the mapping the string's number there.
     """
-    n, width = symbols.shape
+    n, length = strings.shape
+    rank = np.empty((n, length + 1), np.int64)
+    rank[:, :length] = strings + n
+    rank[:, length] = np.arange(n)
+    step = 1
+    while True:
+        later = np.zeros_like(rank)
+        later[:, : length + 1 - step] = rank[:, step:]
+        order = np.lexsort((later.ravel(), rank.ravel()))
+        first, second = rank.ravel()[order], later.ravel()[order]
+        new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
+        flat = np.empty(rank.size, np.int64)
+        flat[order] = np.cumsum(new) - 1
+        rank = flat.reshape(rank.shape)
+        step *= 2
+        if new.all() or step > length:
+            break
+    bwt = np.zeros(rank.size, strings.dtype)
+    back = np.empty(rank.size, np.int64)
+    bwt[rank[:, 1:].ravel()] = strings.ravel()
+    back[rank[:, 1:].ravel()] = rank[:, :-1].ravel()
+    back[rank[:, 0]] = np.arange(n)
+    return bwt, back
+
+
+def merge_bwts(shards: list[tuple[np.ndarray, np.ndarray]], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of all shards' whole strings, and each one's common prefix (symbols) with the one before.
+
+    The interleave is refined pass by pass: rows that agree in k symbols are in order by them, and
+    a stable distribution by the symbol before each row puts the rows that start there in order by
+    k + 1 symbols. Blocks of rows that agree keep their places, so the pass in which a boundary
+    appears gives the common prefix there. No suffix is compared or sorted again. Strings are
+    numbered through all shards.
+    """
+    offsets = np.cumsum([0, *[len(b) for b, _ in shards]])
+    numbers = np.cumsum([0, *counts])
+    bwt = np.concatenate([b for b, _ in shards])
+    whole = bwt == 0
+    back = np.concatenate([np.where(b == 0, k + numbers[i], k + offsets[i]) for i, (b, k) in enumerate(shards)])
+    ends = np.concatenate([np.arange(n) + offsets[i] for i, n in enumerate(counts)])
+    symbols = bwt.astype(np.uint16) if int(bwt.max()) < 1 << 16 else bwt  # 16 bits sort by radix
+    order = np.arange(len(bwt))
+    block = np.zeros(len(bwt), np.int64)
+    common = np.full(len(bwt), -1, np.int64)
+    found, depth = 0, 0
+    while True:
+        rows, of = order, block
+        inner = ~whole[rows]
+        rows, of = rows[inner], of[inner]
+        c = symbols[rows]
+        move = np.argsort(c, kind="stable")
+        c, of = c[move], of[move]
+        order = np.concatenate([ends, back[rows[move]]])
+        edge = np.zeros(len(order), bool)
+        edge[len(ends) :] = np.r_[True, (c[1:] != c[:-1]) | (of[1:] != of[:-1])]
+        common[edge & (common < 0)] = depth
+        depth += 1
+        block = np.cumsum(edge)
+        if block[-1] == found:
+            break
+        found = block[-1]
+    at = np.flatnonzero(whole[order])
+    common[common < 0] = depth
+    between = np.minimum.reduceat(common, at[:-1] + 1) if len(at) > 1 else np.empty(0, np.int64)
+    if len(at) > 1:  # the last run goes to the end of the table; it should go to the last string
+        between[-1] = common[at[-2] + 1 : at[-1] + 1].min()
+    return back[order[at]], np.r_[0, between]
+
+
+def interleave(key: np.ndarray, shard: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of texts by key and content, and each one's common prefix (bytes) with the one before; -1 across keys.
+
+    `texts` has a text's bytes in a row. A text is the string of its key and of its eight-byte
+    words; the strings of each shard are transformed, and the transforms merged.
+    """
+    n, width = texts.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = symbols
+    padded[:, :width] = texts
     words = padded.view(">u8").astype(np.uint64)
-    rank = np.unique(block, return_inverse=True)[1].astype(np.int64)
-    place = np.argsort(rank, kind="stable")  # the interleave: row at each place
-    rank = rank[place]  # block at each place
-    head = np.r_[True, rank[1:] != rank[:-1]]
-    for k in range(words.shape[1]):
-        number = np.cumsum(head) - 1
-        open_ = np.flatnonzero(np.bincount(number)[number] > 1)
-        if not len(open_):
-            break
-        rows = place[open_]
-        order = np.lexsort((words[rows, k], number[open_]))
-        rows, value = rows[order], words[rows[order], k]
-        place[open_] = rows  # blocks keep their places, so those of the open ones are in order
-        head[open_] |= np.r_[True, (value[1:] != value[:-1]) | (number[open_][1:] != number[open_][:-1])]
-    common = np.full(n, -1, np.int64)
-    if n > 1:
-        same_block = block[place[1:]] == block[place[:-1]]
-        differ = symbols[place[1:]] != symbols[place[:-1]]
-        common[1:] = np.where(same_block, np.where(differ.any(axis=1), differ.argmax(axis=1), width), -1)
+    strings = np.empty((n, words.shape[1] + 1), np.int64)
+    strings[:, 1:] = np.unique(words, return_inverse=True)[1].reshape(words.shape) + 1
+    # Keys' symbols come after all words'; they occur at the front only.
+    strings[:, 0] = np.unique(key, return_inverse=True)[1] + strings[:, 1:].max() + 1
+    members = [np.flatnonzero(shard == s) for s in np.unique(shard)]
+    place, same = merge_bwts([shard_bwt(strings[m]) for m in members], [len(m) for m in members])
+    place = np.concatenate(members)[place]
+    same = np.minimum(same, strings.shape[1]) - 1  # words in common, the key left out
+    common = np.minimum(same * 8, width)
+    at = np.flatnonzero((same >= 0) & (same < words.shape[1]) & (np.arange(n) > 0))
+    differ = padded[place[at]].reshape(len(at), -1, 8)[np.arange(len(at)), same[at]] != padded[place[at - 1]].reshape(len(at), -1, 8)[np.arange(len(at)), same[at]]
+    common[at] = np.minimum(common[at] + differ.argmax(axis=1), width)
+    common[same < 0] = -1
+    common[0] = -1
     return place, common
 
 
-def repeated_strings(key: np.ndarray, low: np.ndarray, high: np.ndarray, contexts: list[bytes]) -> list[tuple[int, int, int]]:
+def repeated_strings(key: np.ndarray, low: np.ndarray, high: np.ndarray, contexts: list[bytes], shard: np.ndarray) -> list[tuple[int, int, int]]:
     """(context number, a, b): the strings at distance a to b from the anchor also occur in another context of its key."""
     n = len(contexts)
     right = np.zeros((n, WINDOW), np.uint8)
@@ -181,9 +255,8 @@ def repeated_strings(key: np.ndarray, low: np.ndarray, high: np.ndarray, context
         h = int(high[i])
         left[i, :h] = data[:h][::-1]
         right[i, : len(data) - h] = data[h:]
-    right_place, right_common = interleave(key, right)
-    left_place, left_common = interleave(key, left)
-    # Only contexts whose neighbours agree with them in WINDOW bytes altogether can share a string.
+    right_place, right_common = interleave(key, shard, right)
+    left_place, left_common = interleave(key, shard, left)
     flags = np.zeros((n, WINDOW - KMER + 1), bool)
     right_block, left_block = np.empty(n, np.int64), np.empty(n, np.int64)
     for a in range(int(low.min()), int(high.max()) + 1):
@@ -249,31 +322,32 @@ def _runs_table(texts: DataFrame) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, context, low, high, hot, bytes) of one run of each wanted context."""
+    """(key, context, low, high, hot, shard, bytes) of one run of each wanted context; a shard is what one task reads."""
     lists = wanted.groupBy("run.t1", "run.t2").agg(F.collect_list(F.struct("key", "context", "run.anchor", "run.low", "run.high", "hot")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() % SHARDS
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 rows = []
                 for text, found in zip(_unpacked(part, 0, 1), part.column(2).to_pylist()):
-                    rows += [(r["key"], r["context"], r["low"], r["high"], r["hot"], text[r["anchor"] - r["high"] : r["anchor"] - r["low"] + WINDOW]) for r in found]
-                kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "context", "low", "high", "hot", "bytes"])
+                    rows += [(r["key"], r["context"], r["low"], r["high"], r["hot"], shard, text[r["anchor"] - r["high"] : r["anchor"] - r["low"] + WINDOW]) for r in found]
+                kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.bool_(), pa.int8(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "context", "low", "high", "hot", "shard", "bytes"])
 
-    return texts.join(lists, ["t1", "t2"]).select("n", "z", "runs").mapInArrow(run, "key long, context long, low short, high short, hot boolean, bytes binary")
+    return texts.join(lists, ["t1", "t2"]).select("n", "z", "runs").mapInArrow(run, "key long, context long, low short, high short, hot boolean, shard byte, bytes binary")
 
 
 def _merged(contexts: DataFrame) -> DataFrame:
-    """(key, context, a, b): repeated strings, by interleave refinement of whole keys."""
+    """(key, context, a, b): repeated strings, by merging the shards' transforms of whole keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes, int]] = []
 
-        def out(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
-            columns = [np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3)]
-            found = repeated_strings(*columns, [r[4] for r in rows])
+        def out(rows: list[tuple[int, int, int, int, bytes, int]]) -> pa.RecordBatch:
+            columns = [np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3, 5)]
+            found = repeated_strings(*columns[:3], [r[4] for r in rows], columns[3])
             made = [[rows[i][0] for i, _, _ in found], [rows[i][1] for i, _, _ in found], [a for _, a, _ in found], [b for _, _, b in found]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, (pa.int64(), pa.int64(), pa.int16(), pa.int16()))], names=["key", "context", "a", "b"])
 
@@ -288,7 +362,7 @@ def _merged(contexts: DataFrame) -> DataFrame:
         if held:
             yield out(held)
 
-    dealt = contexts.select("key", "context", "low", "high", "bytes").repartition("key").sortWithinPartitions("key")
+    dealt = contexts.select("key", "context", "low", "high", "bytes", "shard").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "key long, context long, a short, b short")
 
 
@@ -325,7 +399,9 @@ def removals(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     copies = keep(named.groupBy("t1", "t2").agg(F.count("*").alias("copies")), "copies")
     runs = keep(_runs_table(texts), "runs")
     keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("context").alias("c1"), F.max("context").alias("c2")).filter("n > 1")
-    live = keep(runs.join(keys.select("key", (F.col("c1") != F.col("c2")).alias("mixed")), "key"), "live")
+    # A written table, so that the runs of a key that is everywhere can be split where they are joined.
+    keys = keep(keys.select("key", (F.col("c1") != F.col("c2")).alias("mixed")), "keys")
+    live = keep(runs.join(keys, "key"), "live")
     mixed = live.filter("mixed")
     each = mixed.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "anchor", "low", "high")).alias("run"))
     each = keep(each, "contexts")

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from fingerloom.llm import repeats
@@ -43,6 +44,43 @@ def test_against_brute_force(spark, monkeypatch, merged):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_merged_transforms_order_all_strings():
+    rng = np.random.default_rng(4)
+    for n, length, symbols in ((1, 3, 2), (40, 6, 2), (60, 9, 3), (25, 1, 4), (30, 40, 1)):
+        strings = rng.integers(1, symbols + 1, (n, length))
+        cuts = np.sort(rng.integers(0, n + 1, 3))
+        parts = [p for p in np.split(strings, cuts) if len(p)]
+        order, common = repeats.merge_bwts([repeats.shard_bwt(p) for p in parts], [len(p) for p in parts])
+        assert [tuple(strings[i]) for i in order] == sorted(map(tuple, strings))
+        for k in range(1, n):
+            a, b = strings[order[k - 1]], strings[order[k]]
+            same = int((a != b).argmax()) if (a != b).any() else length
+            assert min(common[k], length) == same
+
+
+def test_transform_of_a_shard():
+    # Strings ab and b: rows $0 $1 ab$ b$ b$, by the number of the string where they are equal.
+    bwt, back = repeats.shard_bwt(np.array([[1, 2], [2, 2]]))
+    rows = sorted([((0, 0), 2), ((0, 1), 2), ((1, 2, 0, 0), 0), ((2, 0, 0), 1), ((2, 0, 1), 2), ((2, 2, 0, 1), 0)])
+    assert bwt.tolist() == [c for _, c in rows]
+    assert back[np.flatnonzero(bwt == 0)].tolist() == [0, 1]
+
+
+def test_interleave_against_sorting():
+    rng = np.random.default_rng(9)
+    texts = rng.integers(97, 99, (80, 21)).astype(np.uint8)
+    texts[40:] = texts[:40]
+    texts[60:, 17] = 120
+    key, shard = rng.integers(0, 4, 80), rng.integers(0, 3, 80)
+    place, common = repeats.interleave(key, shard, texts)
+    rows = [(int(key[i]), texts[i].tobytes()) for i in place]
+    assert rows == sorted(rows) and sorted(place.tolist()) == list(range(80))
+    for k in range(1, 80):
+        (x, a), (y, b) = rows[k - 1], rows[k]
+        same = next((i for i in range(21) if a[i] != b[i]), 21)
+        assert common[k] == (same if x == y else -1)
+
+
 def test_slabs_don_t_matter(monkeypatch):
     texts = made()
     want = sorted((int(i), int(a), int(k)) for w, f in repeats.text_runs(texts) for i, a, k in zip(w, f["anchor"], f["key"]))
