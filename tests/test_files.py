@@ -149,6 +149,20 @@ def test_cull(spark, tmp_path, capsys, tree):
     assert cull.main(["--database", db, kept, str(tmp_path / "nowhere")], spark) == 2
 
 
+def test_links_and_offline_sides(tmp_path):
+    root = str(tmp_path / "c")
+    put(root, "d/a", "x")
+    for name, target in (("in", "d/a"), ("dangling", "gone/x"), ("out", "../outside"), ("abs", root + "/d/a"), ("up", "../c/d")):
+        os.symlink(target, os.path.join(root, name))
+    assert {n for n in ("in", "dangling", "out", "abs", "up", "d/a") if cull.sweepable_link(os.path.join(root, n), root)} == {"in", "dangling", "up"}
+    rows = {("/vol/x", "t"), ("/vol", "x/t/u")}
+    has = lambda m, r: (m, r) in rows
+    assert cull.side_offline("/vol/x/t", ["/", "/vol", "/vol/x"], has) == cull.Side("/vol/x/t", "/vol/x", "t")
+    assert cull.side_offline("/vol/x/t/u", ["/", "/vol", "/vol/x"], has) == cull.Side("/vol/x/t/u", "/vol", "x/t/u")
+    assert cull.side_offline("/none", ["/vol/x"], has).mount == "/vol/x" and cull.side_offline("/none", [], has) is None
+    assert cull.overlapping(cull.Side("a", "/m", ""), cull.Side("b", "/m", "x")) and not cull.overlapping(cull.Side("a", "/m", "x"), cull.Side("b", "/m", "xy"))
+
+
 def test_merge(spark, tmp_path, capsys):
     from fingerloom.sources.catalog import FILES_SCHEMA
 
