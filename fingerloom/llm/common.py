@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to the vectorised code in slices of about so many bytes (one text at least).
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -42,6 +43,11 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of at most BATCH_BYTES in this session, for texts go through several at once in an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def remainder(column: Column, n: int) -> Column:
     """crc32 of an integer id written as text, modulo n."""
     return F.crc32(column.cast("string")) % n

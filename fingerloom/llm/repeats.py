@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import as_bytes, fresh_path, keep, table
+from fingerloom.llm.common import as_bytes, fresh_path, keep, small_batches, table
 
 WINDOW = 400
 KMER = 64
@@ -177,6 +177,8 @@ def shard_bwt(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def merge_bwts(shards: list[tuple[np.ndarray, np.ndarray]], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Order of all shards' whole strings, and each one's common prefix (symbols) with the one before.
 
+    Equal strings have a common prefix beyond any length.
+
     The interleave is refined pass by pass: rows that agree in k symbols are in order by them, and
     a stable distribution by the symbol before each row puts the rows that start there in order by
     k + 1 symbols. Blocks of rows that agree keep their places, so the pass in which a boundary
@@ -211,7 +213,7 @@ def merge_bwts(shards: list[tuple[np.ndarray, np.ndarray]], counts: list[int]) -
             break
         found = block[-1]
     at = np.flatnonzero(whole[order])
-    common[common < 0] = depth
+    common[common < 0] = np.iinfo(np.int64).max  # never told apart
     between = np.minimum.reduceat(common, at[:-1] + 1) if len(at) > 1 else np.empty(0, np.int64)
     if len(at) > 1:  # the last run goes to the end of the table; it should go to the last string
         between[-1] = common[at[-2] + 1 : at[-1] + 1].min()
@@ -238,7 +240,8 @@ def interleave(key: np.ndarray, shard: np.ndarray, texts: np.ndarray) -> tuple[n
     same = np.minimum(same, strings.shape[1]) - 1  # words in common, the key left out
     common = np.minimum(same * 8, width)
     at = np.flatnonzero((same >= 0) & (same < words.shape[1]) & (np.arange(n) > 0))
-    differ = padded[place[at]].reshape(len(at), -1, 8)[np.arange(len(at)), same[at]] != padded[place[at - 1]].reshape(len(at), -1, 8)[np.arange(len(at)), same[at]]
+    split = padded.reshape(n, words.shape[1], 8)
+    differ = split[place[at], same[at]] != split[place[at - 1], same[at]]  # in the first word that isn't
     common[at] = np.minimum(common[at] + differ.argmax(axis=1), width)
     common[same < 0] = -1
     common[0] = -1
@@ -362,7 +365,9 @@ def _merged(contexts: DataFrame) -> DataFrame:
         if held:
             yield out(held)
 
-    dealt = contexts.select("key", "context", "low", "high", "bytes", "shard").repartition("key").sortWithinPartitions("key")
+    # A given number of partitions, for few bytes make much work here.
+    parts = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = contexts.select("key", "context", "low", "high", "bytes", "shard").repartition(parts, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "key long, context long, a short, b short")
 
 
@@ -392,6 +397,7 @@ def removals(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     text counts as empty. A text that occurs more than once goes as a whole if it has WINDOW bytes
     or more. Rows with a null id and repeated rows stay; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     # Two 64-bit hashes name a text.
     named = docs.select(id_column, text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
@@ -405,7 +411,7 @@ def removals(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     mixed = live.filter("mixed")
     each = mixed.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "anchor", "low", "high")).alias("run"))
     each = keep(each, "contexts")
-    hot = each.groupBy("key").agg(F.count("*").alias("contexts")).select("key", (F.col("contexts") > MERGED).alias("hot"))
+    hot = keep(each.groupBy("key").agg(F.count("*").alias("contexts")).select("key", (F.col("contexts") > MERGED).alias("hot")), "hot")
     wanted = each.join(hot, "key")
     contexts = keep(_contexts(texts, wanted), "bytes")
     partial = _merged(contexts.filter("not hot")).unionByName(_counted(contexts.filter("hot")))

@@ -35,9 +35,10 @@ def made():
     return texts + [b"a" * 1000, b"a" * 399, b"a" * 400, b"", b"xy" * 700, b"word " * 400, "\u00e9\u00e4 ".encode() * 200, texts[0], texts[0]]
 
 
-@pytest.mark.parametrize("merged", [20_000, 4])
-def test_against_brute_force(spark, monkeypatch, merged):
+@pytest.mark.parametrize("merged,batch", [(20_000, 2 << 20), (20_000, 1), (4, 2 << 20)])
+def test_against_brute_force(spark, monkeypatch, merged, batch):
     monkeypatch.setattr(repeats, "MERGED", merged)
+    monkeypatch.setattr(repeats, "MERGE_BYTES", batch)
     texts = made()
     docs = spark.createDataFrame([(i, t.decode(), 1) for i, t in enumerate(texts)], "doc_id long, text string, key int").repartition(5)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removals(docs).collect()}
@@ -46,7 +47,7 @@ def test_against_brute_force(spark, monkeypatch, merged):
 
 def test_merged_transforms_order_all_strings():
     rng = np.random.default_rng(4)
-    for n, length, symbols in ((1, 3, 2), (40, 6, 2), (60, 9, 3), (25, 1, 4), (30, 40, 1)):
+    for n, length, symbols in ((1, 3, 2), (2, 9, 1), (40, 6, 2), (60, 9, 3), (25, 1, 4), (30, 40, 1)):
         strings = rng.integers(1, symbols + 1, (n, length))
         cuts = np.sort(rng.integers(0, n + 1, 3))
         parts = [p for p in np.split(strings, cuts) if len(p)]
@@ -66,6 +67,16 @@ def test_transform_of_a_shard():
     assert back[np.flatnonzero(bwt == 0)].tolist() == [0, 1]
 
 
+def test_few_equal_strings():
+    for n in (2, 3):
+        strings = np.tile(np.arange(1, 12), (n, 1))
+        order, common = repeats.merge_bwts([repeats.shard_bwt(s[None]) for s in strings], [1] * n)
+        assert sorted(order.tolist()) == list(range(n)) and (common[1:] >= 11).all()
+        strings[-1, 7] = 99
+        order, common = repeats.merge_bwts([repeats.shard_bwt(strings)], [n])
+        assert order.tolist() == list(range(n)) and common[-1] == 7 and (common[1:-1] >= 11).all()
+
+
 def test_interleave_against_sorting():
     rng = np.random.default_rng(9)
     texts = rng.integers(97, 99, (80, 21)).astype(np.uint8)
