@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_CHARS = 20_000
+#: Classes that are learned, the most frequent ones.
+MAX_CLASSES = 200
+SCALE = 1 << 30
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> list[tuple[bytes, int]]:
@@ -28,12 +31,18 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column
 
 
 def texts_by_class(docs: DataFrame, label: str, learn: Column, per_class: int) -> list[tuple[str, str]]:
-    """Up to per_class (text, class) of each non-null value of a column of `docs` itself.
+    """Up to per_class (text, class) of each of the MAX_CLASSES most frequent non-null values of a column of `docs`.
 
-    The row-number limit is applied before the shuffle (window group limit), so that each task
-    sends at most per_class rows of a class.
+    A class's rows are counted first; then only rows whose id's hash is below a bound that lets
+    about twice per_class rows of the class through are ordered, so that what is shuffled doesn't
+    grow with the table.
     """
     rows = docs.filter(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS) & F.col(label).isNotNull() & learn)
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = rows.select("doc_id", "text", label, F.row_number().over(order).alias("n")).filter(F.col("n") <= per_class)
-    return [(r.text, r[label]) for r in ranked.orderBy("n", label).collect()]
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_class) / F.count("*"))
+    bounds = rows.groupBy(label).agg(F.floor(share * SCALE).alias("bound"), F.count("*").alias("rows"))
+    bounds = bounds.orderBy(F.desc("rows"), label).limit(MAX_CLASSES).select(label, "bound")
+    order = Window.partitionBy(label).orderBy("h", "doc_id")
+    hashed = rows.select("doc_id", "text", label, F.xxhash64("doc_id").alias("h"))
+    few = hashed.join(F.broadcast(bounds), label).filter(F.pmod("h", F.lit(SCALE)) < F.col("bound"))
+    ranked = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_class)
+    return [(r.text, r[label]) for r in ranked.select("text", label, "n").orderBy("n", label).collect()]
