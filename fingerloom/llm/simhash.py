@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fingerloom.llm.common import as_bytes, keep, table, text_slices
+from fingerloom.llm.common import as_bytes, keep, small_batches, table, text_slices
 from fingerloom.llm.graph import components
 from fingerloom.llm.ngrams import MIX, STEP, joined, mixed, word_hashes
 
@@ -176,8 +176,8 @@ def _majority(bits: np.ndarray, cuts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def profiles(texts: list[bytes], size: int) -> list[tuple[int, int, np.ndarray]]:
-    """(shingles, fingerprint, block keys) of each text, from vectorised hashes of lower-cased words.
+def profiles(texts: list[bytes], size: int) -> list[tuple[int, np.ndarray]]:
+    """(fingerprint, block keys) of each text, from vectorised hashes of lower-cased words.
 
     A text is cut after word pairs whose hash says so, so that texts with a common passage have
     its segments in common. The keys are the fingerprints of the whole text and of its segments of
@@ -192,7 +192,7 @@ def profiles(texts: list[bytes], size: int) -> list[tuple[int, int, np.ndarray]]
         n = len(own)
         width = min(size, n)
         if not n:
-            out.append((0, 0, np.zeros(1, np.int64)))
+            out.append((0, np.zeros(1, np.int64)))
             continue
         h = np.zeros(n - width + 1, np.uint64)
         for k in range(width):
@@ -212,7 +212,7 @@ def profiles(texts: list[bytes], size: int) -> list[tuple[int, int, np.ndarray]]
                 ones = np.add.reduceat(np.concatenate([bits, np.zeros((1, 64), np.uint8)]), pieces, axis=0, dtype=np.int32)[::2]
                 marks = np.packbits(2 * ones > (last - first)[:, None], axis=1, bitorder="little").view("<u8").ravel()
                 keys.append(mixed(marks + (last - first).astype(np.uint64)))
-        out.append((len(h), int(whole.view(np.int64)[0]), np.unique(np.concatenate(keys)).view(np.int64)))
+        out.append((int(whole.view(np.int64)[0]), np.unique(np.concatenate(keys)).view(np.int64)))
     return out
 
 
@@ -233,11 +233,12 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     segments, so it shares one. Each document meets two others of each block it is in (the
     smallest and the largest text hash), which keeps a block's links linear in its size. Pairs
     whose fingerprints differ in at most `radius` bits are candidates as well. Candidates are
-    verified by size, by Hamming distance (WIDE_RADIUS) and then by the exact similarity.
+    verified by Hamming distance (WIDE_RADIUS) and then by the exact similarity.
 
     t1 and t2 are two hashes of the text; equal texts are one node, named by t1. Null text counts
     as empty, and all wordless texts are one group. Null ids and repeated rows stay.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
     named = docs.select(id_column, F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
     texts = docs.select(F.xxhash64(text).alias("t1"), text.alias("text"))
@@ -251,20 +252,20 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
                 if not new:
                     continue
                 found = profiles(as_bytes(part.column(1).take(pa.array(new, pa.int64()))), size)
-                made = [pa.array([nodes[i] for i in new], pa.int64()), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(made, names=["t1", "n", "fp", "keys"])
+                made = [pa.array([nodes[i] for i in new], pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(made, names=["t1", "fp", "keys"])
 
-    nodes = keep(texts.mapInArrow(run, "t1 long, n int, fp long, keys array<long>"), "profiles")
-    blocks = nodes.select("t1", F.explode("keys").alias("key")).distinct()
+    nodes = keep(texts.mapInArrow(run, "t1 long, fp long, keys array<long>"), "profiles")
+    blocks = nodes.select("t1", F.explode("keys").alias("key"))
     ends = blocks.groupBy("key").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo < hi")
     met = blocks.join(ends, "key").select("t1", F.explode(F.array("lo", "hi")).alias("other")).filter("t1 <> other")
     named_fp = nodes.groupBy("fp").agg(F.min("t1").alias("t1"))
     close = close_edges(named_fp.select("fp"), radius)
     close = close.join(named_fp.toDF("a", "t1"), "a").join(named_fp.toDF("b", "other"), "b").select("t1", "other")
     met = met.unionByName(close).select(F.least("t1", "other").alias("a"), F.greatest("t1", "other").alias("b")).distinct()
-    sides = nodes.groupBy("t1").agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
-    pairs = met.join(sides.toDF("a", "na", "fa"), "a").join(sides.toDF("b", "nb", "fb"), "b")
-    # A text's set of shingles is no larger than its number of shingles, so sizes alone decide nothing for texts that repeat themselves.
+    # A written table, so that a text which many others meet can be split where they are joined.
+    sides = keep(nodes.groupBy("t1").agg(F.first("fp").alias("fp")), "sides")
+    pairs = met.join(sides.toDF("a", "fa"), "a").join(sides.toDF("b", "fb"), "b")
     pairs = keep(pairs.filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= WIDE_RADIUS).select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("t1")).union(pairs.select(F.col("b").alias("t1"))).distinct()
     chosen = keep(texts.join(wanted, "t1", "left_semi").dropDuplicates(["t1"]), "texts")

@@ -29,7 +29,7 @@ def test_stages_one_by_one(spark):
     leaked = {i for i, r in unique.items() if any(t in r.text for t in items)}
     assert leaked and not leaked & set(clean)
     index = decontaminate.ItemIndex(list(enumerate(items)))
-    assert set(unique) - set(clean) == {i for i, r in unique.items() if index.matches(r.text)}
+    assert set(unique) - set(clean) == {i for i, r in unique.items() if index.matches([r.text])}
     # No document goes for its secrets, but the secrets do.
     assert set(safe) == set(clean)
     for i, r in safe.items():
