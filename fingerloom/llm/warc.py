@@ -147,6 +147,7 @@ def marked_pages(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
     large = rows.filter(F.octet_length("html") >= LEAST_PAYLOAD)
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    firsts = keep(firsts, "firsts")  # a written table, so that a payload which many pages have can be split where it is joined
     return rows.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", F.expr("CASE WHEN page_id <=> first THEN NULL ELSE first END").alias("refers_to"))
 
 
