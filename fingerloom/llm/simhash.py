@@ -8,6 +8,7 @@ Hamming distance, and of each bucket's links a spanning forest is kept, never al
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -166,8 +167,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Words of a segment on average, and the least that make one a block.
 SEGMENT_WORDS = 16
 LEAST_SEGMENT = 6
-#: Fingerprints of texts with a similarity of 0.8 differ in 10 of 64 bits on average; 2 in 10,000 such pairs in more than 20.
+#: Bits that the fingerprints of two texts may differ in to be tried in the first round, which the second completes.
 WIDE_RADIUS = 20
+#: Of a text's prefix, the commonest shingles that are keys of the first round too.
+FIRST_KEYS = 4
+#: One text in SAMPLE is read for common shingles; at most COMMON that occur LEAST_COMMON times there are ordered behind all others.
+SAMPLE = 16
+LEAST_COMMON = 4
+COMMON = 1 << 18
+#: 64-bit numbers of a sketch.
+SKETCH_WORDS = 16
 
 
 def _majority(bits: np.ndarray, cuts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -176,8 +185,8 @@ def _majority(bits: np.ndarray, cuts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def profiles(texts: list[bytes], size: int) -> list[tuple[int, np.ndarray]]:
-    """(fingerprint, block keys) of each text, from vectorised hashes of lower-cased words.
+def profiles(texts: list[bytes], size: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(fingerprint, segment keys, distinct shingles) of each text, from vectorised hashes of lower-cased words.
 
     A text is cut after word pairs whose hash says so, so that texts with a common passage have
     its segments in common. The keys are the fingerprints of the whole text and of its segments of
@@ -192,7 +201,7 @@ def profiles(texts: list[bytes], size: int) -> list[tuple[int, np.ndarray]]:
         n = len(own)
         width = min(size, n)
         if not n:
-            out.append((0, np.zeros(1, np.int64)))
+            out.append((0, np.zeros(1, np.int64), np.zeros(1, np.int64)))
             continue
         h = np.zeros(n - width + 1, np.uint64)
         for k in range(width):
@@ -212,10 +221,139 @@ def profiles(texts: list[bytes], size: int) -> list[tuple[int, np.ndarray]]:
                 ones = np.add.reduceat(np.concatenate([bits, np.zeros((1, 64), np.uint8)]), pieces, axis=0, dtype=np.int32)[::2]
                 marks = np.packbits(2 * ones > (last - first)[:, None], axis=1, bitorder="little").view("<u8").ravel()
                 keys.append(mixed(marks + (last - first).astype(np.uint64)))
-        out.append((int(whole.view(np.int64)[0]), np.unique(np.concatenate(keys)).view(np.int64)))
+        out.append((int(whole.view(np.int64)[0]), np.unique(np.concatenate(keys)).view(np.int64), np.unique(h.view(np.int64))))
     return out
 
 
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of which two texts of at least `similarity` share one: all but ceil(similarity * n) - 1, the rarest first.
+
+    The order is the same for all texts, by the count among the common ones (sorted; others 0) and
+    then the hash; which shingles count as common changes the work, never the result.
+    """
+    rank = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, counts[at], 0)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, rank))[: n - max(1, math.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """A parity bit for each class of shingle hashes: two sets differ in at least as many shingles as their sketches in bits."""
+    at = (mixed(shingles.view(np.uint64)) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * SKETCH_WORDS) & 1).tobytes()
+
+
+def cross_pairs(t1: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of texts with different roots that number of shingles and sketch allow to be so similar."""
+    order = np.argsort(n, kind="stable")
+    t1, root, n, sketches = t1[order], root[order], n[order], sketches[order]
+    ends = np.searchsorted(n, n / similarity + 1e-6, "right")
+    share = (1 - similarity) / (1 + similarity)
+    for i, end in enumerate(ends.tolist()):
+        other = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
+        if len(other):
+            apart = np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+            other = other[apart <= share * (n[i] + n[other]) + 1e-6]
+            if len(other):
+                yield np.minimum(t1[i], t1[other]), np.maximum(t1[i], t1[other])
+
+
+def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count), by hash, of shingles that are common in a sample of `texts` (t1, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 0, 1 << 20):
+                found = [f[2] for f in profiles(as_bytes(part.column(0)), size)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["h"])
+
+    sample = texts.filter(F.pmod("t1", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
+    often = sample.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_COMMON).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    found, counts = (often.column(i).to_numpy().astype(np.int64) for i in range(2))
+    order = np.argsort(found)
+    return found[order], counts[order]
+
+
+def shared_only(keyed: DataFrame) -> DataFrame:
+    """Rows (key, t1) whose key another row has too; each row goes over the network once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = np.empty((0, 2), np.int64), None  # the last row, and the key of the row before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)], axis=1)])
+            same = rows[1:, 0] == rows[:-1, 0]
+            good = same | np.r_[before is not None and rows[0, 0] == before, same[:-1]][: len(same)]
+            if good.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:-1][good, i]) for i in range(2)], names=["key", "t1"])
+            before = int(rows[-2, 0]) if len(rows) > 1 else before
+            held = rows[-1:]
+        if len(held) and before is not None and held[0, 0] == before:
+            yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(2)], names=["key", "t1"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, t1 long")
+
+
+def crossing(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of texts with a key in common and different roots that may be so similar, all of them.
+
+    Keys with more than CHUNK texts are compared as pairs of chunks.
+    """
+    rooted = shared.join(roots.withColumnRenamed("node", "t1"), "t1", "left").select("key", "t1", F.coalesce("root", "t1").alias("root"))
+    sizes = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
+    rooted = keep(rooted.join(sizes, "key"), "crossing")
+    met = rooted.join(nodes.select("t1", "n", "sketch"), "t1")
+    met = met.withColumn("own", F.pmod(F.xxhash64("t1"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "t1", "root", "n", "sketch")
+    groups = ["key", "lo", "hi"]
+    met = met.repartition(*groups).sortWithinPartitions(*groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        last = None
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+
+        def flushed() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate([np.stack(x, axis=1) for x in out]), axis=0)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            for found in cross_pairs(*[np.concatenate(x) for x in zip(*held)], similarity):
+                out.append(found)
+                waiting += len(found[0])
+                if waiting >= 1 << 16:
+                    yield flushed()
+                    waiting = 0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3, 6)]
+            columns.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS))
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            bounds = [0, *cuts.tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:]):
+                key = tuple(keys[a].tolist())
+                if key != last:
+                    if held:
+                        yield from compared()
+                    held, last = [], key
+                held.append(tuple(x[a:b] for x in columns))
+        if held:
+            yield from compared()
+        if out:
+            yield flushed()
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def jaccard(a: bytes, b: bytes, size: int) -> float:
     """Similarity of two texts' sets of word shingles; a text of fewer words is one shingle."""
     sets = []
@@ -229,11 +367,11 @@ def jaccard(a: bytes, b: bytes, size: int) -> float:
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, t1, t2, component): groups of documents linked by a shingle similarity of at least `similarity`.
 
-    Pigeonhole over segments: a pair that is so similar differs in fewer places than it has
-    segments, so it shares one. Each document meets two others of each block it is in (the
-    smallest and the largest text hash), which keeps a block's links linear in its size. Pairs
-    whose fingerprints differ in at most `radius` bits are candidates as well. Candidates are
-    verified by Hamming distance (WIDE_RADIUS) and then by the exact similarity.
+    Two rounds, each verified by the exact similarity. The first is to find most of a group's links
+    cheaply: each document meets two others of each segment it has (the smallest and the largest
+    text hash) and those whose fingerprints differ in at most `radius` bits. The second finds all
+    that is missing: two texts that are so similar share a shingle of their prefixes, so all texts
+    under such a shingle that the first round has not put into one group are compared.
 
     t1 and t2 are two hashes of the text; equal texts are one node, named by t1. Null text counts
     as empty, and all wordless texts are one group. Null ids and repeated rows stay.
@@ -242,6 +380,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     text = F.coalesce(F.col(text_column), F.lit(""))
     named = docs.select(id_column, F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
     texts = docs.select(F.xxhash64(text).alias("t1"), text.alias("text"))
+    common, counts = common_shingles(texts, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -252,10 +391,13 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
                 if not new:
                     continue
                 found = profiles(as_bytes(part.column(1).take(pa.array(new, pa.int64()))), size)
-                made = [pa.array([nodes[i] for i in new], pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(made, names=["t1", "fp", "keys"])
+                rarest = [prefix(f[2], similarity, common, counts) for f in found]
+                made = [pa.array([nodes[i] for i in new], pa.int64()), pa.array([f[0] for f in found], pa.int64())]
+                made.append(pa.array([np.r_[f[1], x[-FIRST_KEYS:]] for f, x in zip(found, rarest)], pa.list_(pa.int64())))
+                made += [pa.array(rarest, pa.list_(pa.int64())), pa.array([len(f[2]) for f in found], pa.int64()), pa.array([sketch(f[2]) for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["t1", "fp", "keys", "prefix", "n", "sketch"])
 
-    nodes = keep(texts.mapInArrow(run, "t1 long, fp long, keys array<long>"), "profiles")
+    nodes = keep(texts.mapInArrow(run, "t1 long, fp long, keys array<long>, prefix array<long>, n long, sketch binary"), "profiles")
     blocks = nodes.select("t1", F.explode("keys").alias("key"))
     ends = blocks.groupBy("key").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo < hi")
     met = blocks.join(ends, "key").select("t1", F.explode(F.array("lo", "hi")).alias("other")).filter("t1 <> other")
@@ -264,12 +406,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     close = close.join(named_fp.toDF("a", "t1"), "a").join(named_fp.toDF("b", "other"), "b").select("t1", "other")
     met = met.unionByName(close).select(F.least("t1", "other").alias("a"), F.greatest("t1", "other").alias("b")).distinct()
     # A written table, so that a text which many others meet can be split where they are joined.
-    sides = keep(nodes.groupBy("t1").agg(F.first("fp").alias("fp")), "sides")
-    pairs = met.join(sides.toDF("a", "fa"), "a").join(sides.toDF("b", "fb"), "b")
+    sides = keep(nodes.groupBy("t1").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sides")
+    pairs = met.join(sides.select("t1", "fp").toDF("a", "fa"), "a").join(sides.select("t1", "fp").toDF("b", "fb"), "b")
     pairs = keep(pairs.filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= WIDE_RADIUS).select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("t1")).union(pairs.select(F.col("b").alias("t1"))).distinct()
-    chosen = keep(texts.join(wanted, "t1", "left_semi").dropDuplicates(["t1"]), "texts")
-    both = pairs.join(chosen.toDF("a", "ta"), "a").join(chosen.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +416,16 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
                 good = [jaccard(x, y, size) >= similarity for x, y in zip(as_bytes(part.column(2)), as_bytes(part.column(3)))]
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    roots = components(both.mapInArrow(verify, "a long, b long"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("t1")).union(pairs.select(F.col("b").alias("t1"))).distinct()
+        chosen = keep(texts.join(wanted, "t1", "left_semi").dropDuplicates(["t1"]), "texts")
+        both = pairs.join(chosen.toDF("a", "ta"), "a").join(chosen.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        return both.mapInArrow(verify, "a long, b long")
+
+    roots = components(verified(pairs))
+    shared = shared_only(nodes.select(F.explode("prefix").alias("key"), "t1"))
+    missing = keep(crossing(shared, sides, roots, similarity), "missing")
+    roots = components(roots.toDF("a", "b").unionByName(verified(missing)))
     return named.join(roots.withColumnRenamed("node", "t1"), "t1", "left").select(id_column, "t1", "t2", F.coalesce("root", "t1").alias("component"))
 
 

@@ -135,3 +135,35 @@ def test_first_of_groups(spark):
     assert kept.columns == docs.columns
     found = sorted(map(str, map(tuple, kept.collect())))
     assert found == sorted(map(str, [(1, "ONE two " + long, "z"), (8, "unlike", None), (None, "alone", "d")]))
+
+
+def grouped(spark, texts):
+    """The groups of similar_groups as sets of places in `texts`, and those of brute force."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in simhash.similar_groups(docs).collect():
+        found.setdefault(r.component, set()).add(r.doc_id)
+    linked = union([(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if similarity(texts[i], texts[j]) >= 0.8], range(len(texts)))
+    want = {}
+    for i, root in linked.items():
+        want.setdefault(root, set()).add(i)
+    return sorted(map(sorted, found.values())), sorted(map(sorted, want.values()))
+
+
+def random_words(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+
+
+def test_star_of_edited_copies(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centre = random_words(rng, 400)
+    texts = [" ".join(centre)]
+    for _ in range(300):
+        copy = list(centre)
+        for at in rng.choice(np.arange(5, 395, 6), 8, replace=False):
+            copy[at] = random_words(rng, 1)[0]
+        texts.append(" ".join(copy))
+    found, want = grouped(spark, texts)
+    assert want == [list(range(301))] and found == want
+    monkeypatch.setattr(simhash, "CHUNK", 50)
+    assert grouped(spark, texts)[0] == want
