@@ -26,12 +26,14 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: A credential word, a separator and a value without white space, quotes or brackets.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key)["']?\s{0,3}(?:[:=]|=>|is:)\s{0,3}["']?([^\s"'<>(){}\[\],;]{6,256})""",
+    r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key)["']?\s{0,3}(?:[:=]|=>|is:)\s{0,3}["']?([^\s"'<>(){}\[\],;]{6,})""",
     re.A | re.I,
 )
 _MAYBE = ("pass", "pwd", "secret", "token", "api", "access", "auth", "bearer", "credential", "private")
 #: log10 of the guesses from which a value counts as a secret.
 GUESSES = 10.0
+#: Longer values are judged by windows of so many characters that overlap by half, so that time grows with the length only.
+WINDOW = 256
 
 # Words that attackers try first, commonest first.
 WORDS = (
@@ -122,7 +124,7 @@ def is_secret(value: str) -> bool:
     if len(value) < 6 or value.isalpha() and (value.islower() or value[1:].islower()):
         return False  # words of a text that goes on after a colon
     kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return kinds >= 2 and any(c.isdigit() for c in value) and guess_cost(value) >= GUESSES
+    return kinds >= 2 and any(c.isdigit() for c in value) and any(guess_cost(value[i : i + WINDOW]) >= GUESSES for i in range(0, max(1, len(value) - WINDOW // 2), WINDOW // 2))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -290,6 +290,19 @@ def test_guess_costs():
     assert cost("dragonfly") <= cost("dragon") + cost("fly") + secrets.SEGMENT + 1e-9
 
 
+def test_long_values_are_redacted_whole():
+    rng = random.Random(4)
+    for n in (200, 256, 257, 600, 5000):
+        value = "".join(rng.choices("abcdefghkmnpqrstuvwxyzABCDEFGHKMNPQRSTUVWXYZ23456789!%&*", k=n - 1)) + "7"
+        text = f"pwd={value} end"
+        assert secrets.guess_spans(text) == [(4, 3, 4 + n)]
+        assert secrets.redact(text, secrets.guess_spans(text)) == "pwd=[SECRET] end"
+    # What is costly counts wherever it stands.
+    late = "a" * 900 + "9!kX2vQz#pLw@Ry7" + "a" * 300
+    assert secrets.guess_spans("pwd=" + late) == [(4, 3, 4 + len(late))]
+    assert secrets.guess_spans("pwd=" + "a1" * 1000) == []
+
+
 def test_guessed_spans_and_redaction():
     text = "user=bob pwd: 9fK2mQ8xT4! and password: hello, token = Xk29!qLz7pWv."
     spans = sorted(secrets.base_spans(text) + secrets.guess_spans(text))
