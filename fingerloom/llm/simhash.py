@@ -190,7 +190,7 @@ def profiles(texts: list[bytes], size: int) -> list[tuple[int, np.ndarray, np.nd
 
     A text is cut after word pairs whose hash says so, so that texts with a common passage have
     its segments in common. The keys are the fingerprints of the whole text and of its segments of
-    at least LEAST_SEGMENT words.
+    at least LEAST_SEGMENT words; that of the whole text counts each shingle once, as the similarity does.
     """
     data, starts = joined([t.lower() for t in texts])
     words, owner = word_hashes(data, starts)
@@ -207,7 +207,9 @@ def profiles(texts: list[bytes], size: int) -> list[tuple[int, np.ndarray, np.nd
         for k in range(width):
             h = mixed(h * STEP + own[k : k + len(h)])
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        whole = _majority(bits, np.zeros(1, np.int64), np.array([len(h)]))
+        distinct = np.unique(h)
+        apart = bits if len(distinct) == n - width + 1 else np.unpackbits(distinct.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = _majority(apart, np.zeros(1, np.int64), np.array([len(distinct)]))
         keys = [whole]
         if n >= 2 * LEAST_SEGMENT:
             pair = mixed(own[:-1] * MIX + own[1:])
@@ -221,7 +223,7 @@ def profiles(texts: list[bytes], size: int) -> list[tuple[int, np.ndarray, np.nd
                 ones = np.add.reduceat(np.concatenate([bits, np.zeros((1, 64), np.uint8)]), pieces, axis=0, dtype=np.int32)[::2]
                 marks = np.packbits(2 * ones > (last - first)[:, None], axis=1, bitorder="little").view("<u8").ravel()
                 keys.append(mixed(marks + (last - first).astype(np.uint64)))
-        out.append((int(whole.view(np.int64)[0]), np.unique(np.concatenate(keys)).view(np.int64), np.unique(h.view(np.int64))))
+        out.append((int(whole.view(np.int64)[0]), np.unique(np.concatenate(keys)).view(np.int64), np.sort(distinct.view(np.int64))))
     return out
 
 

@@ -167,3 +167,13 @@ def test_star_of_edited_copies(spark, monkeypatch):
     assert want == [list(range(301))] and found == want
     monkeypatch.setattr(simhash, "CHUNK", 50)
     assert grouped(spark, texts)[0] == want
+
+
+def test_repeated_lines_do_not_move_the_fingerprint():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        text, line = " ".join(random_words(rng, 400)), " ".join(random_words(rng, 10))
+        once, often = text + " " + line, text + (" " + line) * 60
+        assert similarity(once, often) >= 0.95
+        a, b = (f[0] for f in simhash.profiles([once.encode(), often.encode()], 5))
+        assert ((a ^ b) & (2**64 - 1)).bit_count() <= simhash.WIDE_RADIUS
