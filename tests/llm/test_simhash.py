@@ -177,3 +177,19 @@ def test_repeated_lines_do_not_move_the_fingerprint():
         assert similarity(once, often) >= 0.95
         a, b = (f[0] for f in simhash.profiles([once.encode(), often.encode()], 5))
         assert ((a ^ b) & (2**64 - 1)).bit_count() <= simhash.WIDE_RADIUS
+
+
+def test_short_texts(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    for n in (9, 10, 11, 12, 16, 20, 30, 49, 60):
+        for _ in range(10):
+            words = random_words(rng, n)
+            texts.append(" ".join(words))
+            if n < 49:
+                words.append("more")
+            else:
+                words[n // 2] = "changed"
+            texts.append(" ".join(words))
+    found, want = grouped(spark, texts)
+    assert len(want) == 90 and found == want
