@@ -31,6 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op7_repeats": op7_repeats,
     "op8_warc": warc.ORACLE,
 }

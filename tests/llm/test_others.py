@@ -379,3 +379,7 @@ def test_vector_hashes():
         assert by.setdefault(w, x) == x
     assert len(set(by.values())) == len(by)
     assert np.array_equal(word_hashes(*joined([b"  ", b""]))[0], np.empty(0))
+
+
+def test_oracles_are_sql():
+    assert set(queries.ORACLES) == {"op8_warc"} and all(isinstance(x, str) for x in queries.ORACLES.values())
