@@ -107,18 +107,61 @@ def test_url_rules(spark):
     assert urls.judge_urls(pages.limit(0), "page_id").count() == 0
 
 
-def test_url_models_tell_apart():
+def ruled(spark, accepted, rejected):
+    rows = [("allow", u) for u in accepted] + [("block", u) for u in rejected]
+    return spark.createDataFrame([((v, v) if v else None, u) for v, u in rows], "found struct<rule:string,verdict:string>, target string")
+
+
+def brute_difference(text, models):
+    """Log-likelihood ratio per character from plain dictionaries of counts."""
+    padded = "\x02" * urls.ORDER + text + "\x03"
+    total = 0.0
+    for i in range(urls.ORDER, len(padded)):
+        logs = []
+        for counts in models:
+            p = 1 / urls.ALPHABET
+            for k in range(urls.ORDER + 1):
+                after = counts.get(padded[i - k : i])
+                if after:
+                    p = (after[padded[i]] + len(after) * p) / (after.total() + len(after))
+            logs.append(np.log(p))
+        total += logs[0] - logs[1]
+    return total / (len(text) + 1)
+
+
+def test_url_models(spark, monkeypatch):
     rng = random.Random(1)
-    good = [f"shop{rng.randrange(99)}.example/products/item-{rng.randrange(999)}" for _ in range(300)]
-    bad = [f"win{rng.randrange(99)}.example/casino/bonus-{rng.randrange(999)}" for _ in range(300)]
-    model = urls.fit(good[:200], bad[:200])
-    assert sum(model.probability(u) >= 0.5 for u in good[200:]) >= 95
-    assert sum(model.probability(u) < 0.5 for u in bad[200:]) >= 95
-    # A model's probabilities of what may follow a context sum to one over its alphabet, seen characters included.
-    markov = model.accepted
-    seen = {c for after in markov.counts.values() for c in after}
-    total = sum(markov.probability("shop1", c) for c in seen) + (256 - len(seen)) * markov.probability("shop1", "\u4e00")
-    assert total == pytest.approx(1)
+    good = [f"shop{rng.randrange(99)}.example/products/item-{rng.randrange(999)}é" for _ in range(400)]
+    bad = [f"win{rng.randrange(99)}.example/casino/bonus-{rng.randrange(999)}" for _ in range(400)] + ["long/" + "casino" * 2000, ""]
+    model = urls.learned(ruled(spark, good[:300] * 2, bad[100:]))
+    found = model.probabilities(good[300:] + bad[:100])
+    assert (found[:100] >= 0.5).sum() >= 95 and (found[100:] < 0.5).sum() >= 95
+    # Without calibration rows every URL is counted, and the models are those of plain dictionaries.
+    monkeypatch.setattr(urls, "CALIBRATION", 0)
+    good, bad = good[:60], bad[:60]
+    model = urls.learned(ruled(spark, good, bad))
+    models = []
+    for texts in (good, bad):
+        counts = collections.defaultdict(collections.Counter)
+        for t in set(texts):
+            padded = "\x02" * urls.ORDER + t + "\x03"
+            for i in range(urls.ORDER, len(padded)):
+                for k in range(urls.ORDER + 1):
+                    counts[padded[i - k : i]][padded[i]] += 1
+        models.append(counts)
+    assert model.accepted.totals.sum() == (urls.ORDER + 1) * sum(len(t) + 1 for t in set(good))
+    some = good[:30] + bad[:30] + ["", "x", "unheard.of/\U0001f389" * 3, "shop"]
+    want = np.array([brute_difference(t, models) for t in some])
+    # Slots that two contexts share change a few probabilities.
+    apart = np.abs(model.differences(some) - want)
+    assert apart.max() < 0.3 and np.median(apart) < 0.05
+    assert (model.slope, model.offset) == (1.0, 0.0) and model.differences([]).tolist() == []
+
+
+def test_url_counts_grow_with_the_input(spark):
+    urls_of = lambda n: [f"host{i}.example/fr/{i * 7919}" for i in range(n)]
+    sizes = [urls.learned(ruled(spark, urls_of(n), [])).accepted.totals.sum() for n in (1000, 60_000)]
+    assert sizes[1] > 50 * sizes[0]
 
 
 def test_url_query(spark):
