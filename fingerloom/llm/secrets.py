@@ -8,9 +8,11 @@ Values of at least GUESSES become spans of kind `guess`.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,19 +36,22 @@ _MAYBE = ("pass", "pwd", "secret", "token", "api", "access", "auth", "bearer", "
 GUESSES = 10.0
 #: Longer values are judged by windows of so many characters that overlap by half, so that time grows with the length only.
 WINDOW = 256
+#: Characters that end a sentence rather than a value, and a value's least length without them.
+TRAILING = ".!?:"
+LEAST_VALUE = 6
+_JOINT = re.compile("['\u2019-]")
 
 # Words that attackers try first, commonest first.
 WORDS = (
     "password 123456 qwerty admin letmein welcome monkey dragon master login hello secret shadow test user root guest "
     "changeme default example demo sample token key api access auth true false null none undefined string value name "
-    "the and for with that this from your have not are was but all can new one two three four five six seven eight nine "
-    "zero red blue green black white love baby angel summer winter spring autumn sunday monday tuesday wednesday "
-    "thursday friday saturday january february march april may june july august september october november december "
     "football baseball soccer hockey superman batman princess sunshine flower freedom computer internet server database "
-    "system network security private public pass word my is in on at to of it me you he she we they"
+    "system network security private public pass word"
 ).split()
-RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
+#: Where further words are read from, in order of their rank: a public tokenizer's vocabulary.
+VOCABULARY = "word_bpe_49k.json"
+#: Characters of a word of the list at most, and at least in what the vocabulary adds.
+LONGEST_WORD, SHORTEST_WORD = 20, 3
 # Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@301!5$7", "aaeoiisst")
@@ -68,26 +73,54 @@ for _upper, _lower in zip(ROWS, ROWS[1:]):
 _DATE = re.compile(r"(?:19|20)\d\d[-./]?(?:0[1-9]|1[0-2])[-./]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:19|20)\d\d|(?:19|20)\d\d")
 
 
+@lru_cache(maxsize=4)
+def ranked_words(path: str | None) -> dict[str, int]:
+    """Rank of each word: WORDS, then the whole words of a tokenizer file in the order of their ids, which follows their frequency."""
+    ranks = {w: i + 1 for i, w in enumerate(WORDS)}
+    if path:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        begin, end = ("", model["end_of_word_suffix"]) if model.get("end_of_word_suffix") else ("\u0120", "")
+        for token in sorted(model["vocab"], key=model["vocab"].get):
+            word = token.removeprefix(begin).removesuffix(end).lower()
+            whole = token.startswith(begin) and token.endswith(end)
+            if whole and word.isascii() and word.isalpha() and SHORTEST_WORD <= len(word) <= LONGEST_WORD:
+                ranks.setdefault(word, len(ranks) + 1)
+    return ranks
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def brute_cost(c: str) -> float:
     return BRUTE["lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "other"]
 
 
-def guess_cost(value: str) -> float:
-    """log10 guesses of the cheapest segmentation, by dynamic programming over end positions."""
+def word_cost(part: str, ranks: dict[str, int]) -> float | None:
+    """log10 guesses of a word of the list, its case and its digits for letters; None if it is none."""
+    low = part.lower()
+    rank, twist = ranks.get(low), 0.0
+    if rank is None:
+        rank, twist = ranks.get(low.translate(LEET)), math.log10(4)
+    if rank is None:
+        return None
+    case = 0.0 if part == low else math.log10(2) if part.isupper() or part[1:].islower() else math.log10(2 ** min(len(part), 8))
+    return math.log10(rank) + 0.3 + twist + case
+
+
+def segments(value: str, ranks: dict[str, int]) -> list[list[tuple[int, float]]]:
+    """For each end position, (start, cost) of the segments that end there and are cheaper than single characters may be."""
     n = len(value)
     low = value.lower()
-    plain = low.translate(LEET)
-    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost)
+    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for i in range(n):
         for j in range(i + 2, min(n, i + LONGEST_WORD) + 1):
-            rank = RANKS.get(low[i:j])
-            twist = 0.0
-            if rank is None and (rank := RANKS.get(plain[i:j])):
-                twist = math.log10(4)
-            if rank:
-                part = value[i:j]
-                case = 0.0 if part == low[i:j] else math.log10(2) if part.isupper() or part[1:].islower() else math.log10(2 ** min(len(part), 8))
-                ending[j].append((i, math.log10(rank) + 0.3 + twist + case))
+            cost = word_cost(value[i:j], ranks)
+            if cost is not None:
+                ending[j].append((i, cost))
         if i + 3 <= n:
             step = ord(low[i + 1]) - ord(low[i])
             j = i + 1
@@ -100,14 +133,22 @@ def guess_cost(value: str) -> float:
                 j += 1
                 if j - i >= 4:
                     ending[j].append((i, math.log10(47) + (j - i) * math.log10(2.5)))
-        for size in range(2, min(16, (n - i) // 2) + 1):  # repeats of a part
+        base = brute_cost(value[i])
+        for size in range(2, (n - i) // 2 + 1):  # repeats of a part
+            base += brute_cost(value[i + size - 1])
             j = i + size
             while value[j : j + size] == value[i : i + size]:
                 j += size
-                base = sum(map(brute_cost, value[i : i + size]))
                 ending[j].append((i, base + math.log10((j - i) // size)))
     for m in re.finditer(r"(?=(%s))" % _DATE.pattern, value):
         ending[m.end(1)].append((m.start(1), math.log10(365 * 130) if len(m[1]) > 4 else math.log10(130)))
+    return ending
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
+    """log10 guesses of the cheapest segmentation, by dynamic programming over end positions."""
+    n = len(value)
+    ending = segments(value, ranked_words(None) if ranks is None else ranks)
     best = [0.0] + [math.inf] * n
     for j in range(1, n + 1):
         best[j] = best[j - 1] + brute_cost(value[j - 1])
@@ -118,13 +159,20 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def is_secret(value: str) -> bool:
-    """Whether a credential-context value is costly to guess; plain words with their punctuation aren't."""
-    value = value.rstrip(".!?:")
-    if len(value) < 6 or value.isalpha() and (value.islower() or value[1:].islower()):
-        return False  # words of a text that goes on after a colon
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return kinds >= 2 and any(c.isdigit() for c in value) and any(guess_cost(value[i : i + WINDOW]) >= GUESSES for i in range(0, max(1, len(value) - WINDOW // 2), WINDOW // 2))
+def is_prose(value: str) -> bool:
+    """Words of a text that goes on after a colon: letters only, small but for the first one of each, perhaps joined by hyphens or apostrophes."""
+    return all(w.isalpha() and (w.islower() or w[1:].islower() or w.isupper()) for w in _JOINT.split(value))
+
+
+def is_secret(value: str, ranks: dict[str, int] | None = None) -> bool:
+    """Whether a credential-context value is costly to guess; prose with its punctuation isn't asked about.
+
+    All other values are judged by their cost alone, in windows of WINDOW characters.
+    """
+    value = value.rstrip(TRAILING)
+    if len(value) < LEAST_VALUE or is_prose(value):
+        return False
+    return any(guess_cost(value[i : i + WINDOW], ranks) >= GUESSES for i in range(0, max(1, len(value) - WINDOW // 2), WINDOW // 2))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -138,11 +186,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def guess_spans(text: str) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, ranks: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(w in low for w in _MAYBE):
         return []
-    return [(m.start(1), 3, m.start(1) + len(m[1].rstrip(".!?:"))) for m in CONTEXT.finditer(text) if is_secret(m[1])]
+    return [(m.start(1), 3, m.start(1) + len(m[1].rstrip(TRAILING))) for m in CONTEXT.finditer(text) if is_secret(m[1], ranks)]
 
 
 def spelled(spans: list[tuple[int, int, int]]) -> str:
@@ -159,20 +207,23 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, *carry: str) -> DataFrame:
+def scan(docs: DataFrame, *carry: str, words: str | None = None) -> DataFrame:
     """Secrets in every row's whole text (null: empty), with the columns named in `carry`.
 
+    `words` is the path of a tokenizer file whose vocabulary extends the list of words.
+
     Adds n_assign, n_access, n_hex, base_sha256, spans (all, base and guessed, by start and then
     kind) and redacted (the text with each secret replaced; null stays null). Spans are in code
     points, the end exclusive. Texts without secrets have empty spans. One pass, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = ranked_words(words)
         for batch in batches:
             for part in text_slices(batch, 0):
                 texts = as_texts(part.column(0))
                 base = [base_spans(t) for t in texts]
-                every = [sorted(b + guess_spans(t)) for b, t in zip(base, texts)]
+                every = [sorted(b + guess_spans(t, ranks)) for b, t in zip(base, texts)]
                 clean = [redact(t, s) if s else t for t, s in zip(texts, every)]
                 made = [pa.array([sum(s[1] == k for s in b) for b in base], pa.int64()) for k in range(3)]
                 made.append(pa.array([hashlib.sha256(spelled(b).encode()).hexdigest() for b in base], pa.string()))
@@ -185,4 +236,4 @@ def scan(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id").drop("redacted")
+    return scan(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", words=vocabulary_path()).drop("redacted")
