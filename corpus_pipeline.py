@@ -52,7 +52,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All documents, each secret in their texts replaced by [SECRET] and n_chars counted anew where one was."""
     names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
     carried = docs.select("text", *[F.col(c).alias(n) for c, n in names.items()])
-    scanned = secrets.scan(carried, *names.values())
+    scanned = secrets.scan(carried, *names.values(), words=secrets.vocabulary_path())
     hit = F.col("spans") != ""
     made = {c: F.col(n) for c, n in names.items()} | {"text": F.col("redacted")}
     if "n_chars" in names:
