@@ -27,7 +27,7 @@ LANDMARKS = 96
 BLOCK = 2048
 ROWS = 128
 RIDGE = 1e-2
-#: Training texts of each language at most.
+#: Training texts of each language at most; fewer where that would be over samples.MAX_TEXTS in all. No language is left out.
 PER_CLASS = 400
 UNKNOWN = "und"
 #: Scores are softmax(SHARPNESS * regression outputs).
@@ -91,11 +91,14 @@ class LanguageModel:
                 row[at] = 1
         return out
 
+    def unit_presence(self, blocks: list[np.ndarray]) -> np.ndarray:
+        """Presences scaled to length 1, whose products are the kernel."""
+        x = self.presence(blocks)
+        return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+
     def outputs(self, blocks: list[np.ndarray]) -> np.ndarray:
         """Regression outputs of blocks, by batched matrix products."""
-        x = self.presence(blocks)
-        x /= np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
-        return x @ self.landmarks @ self.weights
+        return self.unit_presence(blocks) @ self.landmarks @ self.weights
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.languages:
@@ -129,43 +132,69 @@ class LanguageModel:
         return out
 
 
+def chosen_grams(blocks: list[np.ndarray]) -> np.ndarray:
+    """Sorted hashes of the FEATURES n-grams whose presence varies most over the blocks, each with a slot of its own.
+
+    Of n-grams with the same slot only the first in that order is taken; ties go by hash.
+    """
+    hashes, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+    for at in range(0, len(blocks), ROWS):
+        each = [np.unique(np.concatenate(list(grams(b)))) for b in blocks[at : at + ROWS]]
+        every = np.concatenate([hashes, *each])
+        held = np.concatenate([counts, np.ones(len(every) - len(hashes), np.int64)])
+        hashes, where = np.unique(every, return_inverse=True)
+        counts = np.bincount(where, held).astype(np.int64)
+    share = counts / max(1, len(blocks))
+    best = hashes[np.argsort(-share * (1 - share), kind="stable")]
+    first = np.unique(best >> np.uint32(32 - _BITS), return_index=True)[1]
+    return np.sort(best[np.sort(first)[:FEATURES]])
+
+
+def nystroem(marks: np.ndarray) -> np.ndarray:
+    """K(marks, marks)^-1/2, by which kernel rows against the landmarks become features."""
+    values, vectors = np.linalg.eigh(marks @ marks.T + 1e-6 * np.eye(len(marks)))
+    return vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
+
+
 def fit(rows: list[tuple[str, str]]) -> LanguageModel:
-    """Fit on (text, language) rows; without rows every text is unknown."""
+    """Fit on all blocks of (text, language) rows; without rows every text is unknown.
+
+    A text's blocks share its weight, and each language weighs the same in all.
+    """
     languages = sorted({lang for _, lang in rows})
-    blocks, truth = [], []
+    number = {lang: k for k, lang in enumerate(languages)}
+    blocks: list[np.ndarray] = []
+    truth: list[int] = []
+    weight: list[float] = []
     for text, lang in rows:
         codes = code_points(text)
         if (codes != 32).any():
-            blocks.append(codes[:BLOCK])
-            truth.append(languages.index(lang))
-            if len(codes) > BLOCK:
-                blocks.append(codes[-BLOCK:])
-                truth.append(languages.index(lang))
+            parts = [codes[at : at + BLOCK] for at in range(0, len(codes), BLOCK)]
+            blocks += parts
+            truth += [number[lang]] * len(parts)
+            weight += [len(p) / len(codes) for p in parts]
     if not blocks:
         empty = np.zeros((0, 0), np.float32)
         return LanguageModel([], np.full(1 << _BITS, -1, np.int32), np.empty(0, np.uint32), empty, empty)
-    each = [np.unique(np.concatenate(list(grams(b)))) for b in blocks]
-    hashes, counts = np.unique(np.concatenate(each), return_counts=True)
-    share = counts / len(each)
-    keep = np.argsort(-share * (1 - share), kind="stable")[:FEATURES]
-    hashes = hashes[np.sort(keep)]
+    hashes = chosen_grams(blocks)
     slot = np.full(1 << _BITS, -1, np.int32)
-    slot[(hashes >> np.uint32(32 - _BITS))[::-1]] = np.arange(len(hashes), dtype=np.int32)[::-1]
+    slot[hashes >> np.uint32(32 - _BITS)] = np.arange(len(hashes), dtype=np.int32)
     model = LanguageModel(languages, slot, hashes, np.empty(0), np.empty(0))
-    x = np.concatenate([model.presence(blocks[i : i + ROWS]) for i in range(0, len(blocks), ROWS)])
-    x /= np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
-    y = np.array(truth)
+    y, w = np.array(truth), np.array(weight)
     # Landmarks: as many of each language as there are, evenly spread over the sample's order.
     share_of = max(1, LANDMARKS // len(languages))
-    chosen = np.concatenate([np.flatnonzero(y == k)[np.unique(np.linspace(0, (y == k).sum() - 1, share_of).astype(int))] for k in range(len(languages)) if (y == k).any()])
-    marks = x[chosen]
-    values, vectors = np.linalg.eigh(marks @ marks.T + 1e-6 * np.eye(len(chosen)))
-    root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    z = x @ marks.T @ root
-    target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0 / max(1, len(languages) - 1))
-    share_w = 1 / np.bincount(y, minlength=len(languages))[y]
-    gram = (z * share_w[:, None]).T @ z + RIDGE * np.eye(z.shape[1])
-    coefficients = np.linalg.solve(gram, (z * share_w[:, None]).T @ target)
+    chosen = np.concatenate([at[np.unique(np.linspace(0, len(at) - 1, share_of).astype(int))] for at in (np.flatnonzero(y == k) for k in range(len(languages))) if len(at)])
+    marks = model.unit_presence([blocks[i] for i in chosen]).astype(np.float64)
+    root = nystroem(marks)
+    w = w / np.bincount(y, w, len(languages))[y]
+    gram = RIDGE * np.eye(len(chosen))
+    right = np.zeros((len(chosen), len(languages)))
+    for at in range(0, len(blocks), ROWS):
+        z = model.unit_presence(blocks[at : at + ROWS]) @ marks.T @ root
+        target = np.where(y[at : at + ROWS, None] == np.arange(len(languages)), 1.0, -1.0 / max(1, len(languages) - 1))
+        gram += (z * w[at : at + ROWS, None]).T @ z
+        right += (z * w[at : at + ROWS, None]).T @ target
+    coefficients = np.linalg.solve(gram, right)
     return LanguageModel(languages, slot, hashes, np.ascontiguousarray(marks.T, np.float32), (root @ coefficients).astype(np.float32))
 
 
@@ -173,7 +202,9 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *carry: str) -> Dat
     """lang_pred and score of every row's whole text, with the columns named in `carry`.
 
     A text that is null or has no letter is `und` with score 0; so is every text if the model
-    was fitted on no rows. Scores lie between 0 and 1. One pass, no shuffle.
+    was fitted on no rows. Scores lie between 0 and 1; of languages with the same score the first
+    in order of the name is taken. Repeated rows stay; an empty table gives an empty result. One
+    pass, no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -189,6 +220,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *carry: str) -> Dat
 
 
 def learned(docs: DataFrame, learn: Column) -> LanguageModel:
+    """The model of a bounded sample of the documents (doc_id, text, lang) that `learn` allows."""
     return fit(texts_by_class(docs, "lang", learn, PER_CLASS))
 
 

@@ -475,3 +475,97 @@ def test_vector_hashes():
 
 def test_oracles_are_sql():
     assert set(queries.ORACLES) == {"op8_warc"} and all(isinstance(x, str) for x in queries.ORACLES.values())
+
+
+def test_kernel_ridge_against_plain_matrices():
+    rng = np.random.default_rng(5)
+    alphabets = {"aa": list("abcde "), "bb": list("cdefg "), "cc": list("efghi ")}
+    rows = [("".join(rng.choice(letters, 40 + 10 * i)), lang) for lang, letters in alphabets.items() for i in range(12)]
+    rows.append(("".join(rng.choice(alphabets["aa"], 5000)), "aa"))  # several blocks
+    model = langid.fit(rows)
+    sets, y, w = [], [], []
+    for text, lang in rows:
+        codes = langid.code_points(text)
+        for at in range(0, len(codes), langid.BLOCK):
+            part = "".join(map(chr, codes[at : at + langid.BLOCK]))
+            sets.append({part[i : i + n] for n in range(1, langid.ORDERS + 1) for i in range(len(part) - n + 1)})
+            y.append(lang)
+            w.append(len(part) / len(codes))
+    vocabulary = sorted(set().union(*sets))
+    assert len(vocabulary) == len(model.hashes)  # few enough to be kept whole
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    names = sorted(alphabets)
+    total = {k: sum(v for v, lang in zip(w, y) if lang == k) for k in names}
+    weights = np.array([v / total[lang] for v, lang in zip(w, y)])
+    share = langid.LANDMARKS // len(names)
+    chosen = [at[i] for k in names for at in [[i for i, lang in enumerate(y) if lang == k]] for i in np.unique(np.linspace(0, len(at) - 1, share).astype(int))]
+    values, vectors = np.linalg.eigh(kernel[np.ix_(chosen, chosen)] + 1e-6 * np.eye(len(chosen)))
+    root = vectors @ np.diag(values**-0.5) @ vectors.T
+    z = kernel[:, chosen] @ root
+    target = np.array([[1.0 if lang == k else -0.5 for k in names] for lang in y])
+    beta = np.linalg.inv(z.T @ np.diag(weights) @ z + langid.RIDGE * np.eye(len(chosen))) @ z.T @ np.diag(weights) @ target
+    blocks = [langid.code_points(t)[: langid.BLOCK] for t, _ in rows[:36]]
+    want = np.array([z[i] @ beta for i in range(36)])
+    assert np.abs(model.outputs(blocks) - want).max() < 0.02
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    from fingerloom.llm import samples
+
+    monkeypatch.setattr(samples, "MAX_TEXTS", 500)
+    docs = spark.createDataFrame([(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 5, f"l{i % 300}") for i in range(1200)], "doc_id long, text string, lang string")
+    found = samples.texts_by_class(docs, "lang", docs["doc_id"] >= 0, 400)
+    assert len({k for _, k in found}) == 300 == len(found)
+    assert len(langid.fit(found).languages) == 300
+
+
+def test_grams_have_slots_of_their_own():
+    blocks = [langid.code_points("".join(map(chr, range(a, a + 600)))) for a in (0x4E00, 0x5E00, 0x6E00, 0x7E00, 0x8E00)]
+    hashes = langid.chosen_grams(blocks)
+    assert len(hashes) == langid.FEATURES == len({int(h) >> (32 - langid._BITS) for h in hashes})
+
+
+def test_dual_descent_against_the_primal():
+    rng = np.random.default_rng(1)
+    n = 60
+    y = np.array([0, 1, 1] * (n // 3))
+    rows = []
+    for q in y:
+        at = np.unique(rng.integers(0, 12, 5) + (4 if q else 0))
+        v = rng.normal(1, 0.3, len(at))
+        rows.append((at, v / np.linalg.norm(v)))
+    quality_epochs, quality.EPOCHS = quality.EPOCHS, 2000
+    try:
+        w, bias = quality.descend(rows, y)
+    finally:
+        quality.EPOCHS = quality_epochs
+    bound = quality.COST * n / (2 * np.bincount(y))[y]
+
+    def loss(w, b):
+        margin = np.array([np.where(q, 1, -1) * (w[at] @ v + b) for (at, v), q in zip(rows, y)])
+        return 0.5 * (w @ w + b * b) + (bound * np.maximum(0, 1 - margin)).sum()
+
+    best = loss(w[:20], bias)
+    assert not w[20:].any()
+    for _ in range(300):  # a convex function: no step leads below
+        step = rng.normal(0, 1, 21)
+        for size in (1e-3, 1e-2, 0.1):
+            assert loss(w[:20] + size * step[:20], bias + size * step[20]) >= best - 1e-6
+
+
+def test_classifiers_on_empty_tables_and_long_texts(spark):
+    long_text = "plain words follow. " * 60_000
+    docs = spark.createDataFrame([(1, long_text), (2, ""), (3, None), (4, "x" * 300_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    everything = labels["doc_id"] >= 0
+    assert quality.learned(docs.limit(0), labels, everything) is None and rules.learned(docs, labels) is None
+    model = quality.fit([(b"fine text", 1), (b"spam spam", 0)] * 5)
+    assert quality.score_quality(docs.limit(0), model, "doc_id").count() == 0 and quality.score_quality(docs, model, "doc_id").count() == 4
+    rule_model = rules.fit([(b"fine text", 1), (b"spam spam", 0)] * 5)
+    got = {r.doc_id: r for r in rules.judge(docs, rule_model).collect()}
+    assert got[1].n_words == 180_000 and got[4].word_chars == 300_000 and got[3].n_words == 0
+    known = langid.fit([("plain words follow", "en"), ("le chat noir", "fr")])
+    assert {r.doc_id: r.lang_pred for r in langid.predict_languages(docs, known, "doc_id").collect()}[1] == "en"
+    assert langid.learned(docs.withColumn("lang", docs["text"]).limit(0), docs["doc_id"] >= 0).languages == []
+    secret = spark.createDataFrame([(1, long_text + "password=Xk29!qLz7pWv")], "doc_id long, text string")
+    assert secrets.scan(secret, "doc_id").first().spans == f"guess:{len(long_text) + 9}:{len(long_text) + 21}"
