@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and has no executors elsewhere."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), f"fingerloom-{os.getpid()}")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -36,16 +39,57 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/fingerloom/{label}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Have Arrow batches of at most BATCH_BYTES in this session, for texts go through several at once in an executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return written(df, fresh_path(df.sparkSession, label))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables between the steps of one operator, in one folder that goes when the operator ends.
+
+    What the operator returns may not read from it.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, fresh_path(spark, label)
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """As keep(); a label is used once."""
+        return written(df, f"{self.path}/{label}")
+
+    def drop(self, *labels: str) -> None:
+        """Tables that nothing reads any more."""
+        for label in labels:
+            delete(self.spark, f"{self.path}/{label}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        delete(self.spark, self.path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_BYTES for what runs inside, for texts go through several at once in an executor."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def remainder(column: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import keep
+from fingerloom.llm.common import Scratch, keep
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,12 +28,16 @@ def components(edges: DataFrame) -> DataFrame:
     gives an empty one. Each round's edges are written to the shared folder; the rounds grow with
     the logarithm of the longest chain. Nothing but a count and a checksum comes to the driver.
     """
-    now = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        now = keep(_small_star(_large_star(now)), "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    with Scratch(edges.sparkSession, "components") as scratch:
+        now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "0")
+        seen, rounds = None, 0
+        while True:
+            rounds += 1
+            now = scratch.keep(_small_star(_large_star(now)), str(rounds))
+            scratch.drop(str(rounds - 1))
+            mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if tuple(mark) == seen:
+                break
+            seen = tuple(mark)
+        found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return keep(found.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")

@@ -5,8 +5,10 @@ hash. Equal strings have their anchors at the same place, so suffixes (and rever
 to be sorted at anchors only, about one in 170 bytes. Consecutive strings with one anchor make a
 run; runs are dealt out by a hash of the bytes that all strings of the run share.
 
-Where everything with one key has the same context, all its strings repeat, or none. Elsewhere the
-distinct contexts are strings of eight-byte words. Each shard's strings get their Burrows-Wheeler
+Where everything with one key has the same context, all its strings repeat, or none. Keys with many
+contexts are dealt out again by narrower parts of their strings, the narrowest being one string,
+where the key is all there is. What is left are distinct contexts, strings of eight-byte words. Each
+shard's strings get their Burrows-Wheeler
 transform, and the shards' transforms are merged by interleave refinement: a pass distributes the
 rows by the symbol before them, which orders by one symbol more, and the pass in which a boundary
 appears is the common prefix there. The same is done with the reversed prefixes. A string repeats
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import as_bytes, fresh_path, keep, small_batches, table
+from fingerloom.llm.common import Scratch, as_bytes, keep, small_batches, table
 
 WINDOW = 400
 KMER = 64
@@ -34,13 +36,17 @@ PART = 169
 #: Bytes that are hashed at once, and the bits that hold a place in them.
 PLACE_BITS = 18
 SLAB = (1 << PLACE_BITS) - WINDOW
-#: Distinct contexts of one key that are merged in one task; a key with more takes counted hashes of its strings.
-MERGED = 20_000
+#: Keys with more distinct contexts are dealt out anew by parts of NARROW strings, and those of them with more than MERGED by single strings.
+FEW = 64
+NARROW = 13
+MERGED = 2000
 #: Context bytes that are merged at once (whole keys).
 MERGE_BYTES = 2 << 20
 #: Shards whose transforms are merged at once.
 SHARDS = 4
 
+CONTEXTS = "key long, context long, low short, high short, shard byte, bytes binary"
+
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _tables: list[np.ndarray] = []
@@ -278,8 +284,8 @@ def repeated_strings(key: np.ndarray, low: np.ndarray, high: np.ndarray, context
     return [(int(i), int(a), int(b) - 1) for (i, a), (_, b) in zip(begin, end)]
 
 
-def _texts_table(docs: DataFrame) -> DataFrame:
-    """Each distinct text once, compressed, bucketed by its two hashes t1 and t2."""
+def _texts_table(docs: DataFrame, name: str, path: str) -> DataFrame:
+    """Each distinct text once, compressed, as a table bucketed by its two hashes t1 and t2."""
     spark = docs.sparkSession
 
     def first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +307,7 @@ def _texts_table(docs: DataFrame) -> DataFrame:
     schema = "t1 long, t2 long, n int, z binary"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = docs.select("t1", "t2", "text").mapInArrow(first_of_task, schema).repartition(parts, "t1", "t2").mapInArrow(first_of_all, schema)
-    name = f"fingerloom_texts_{uuid.uuid4().hex}"
-    found.write.option("path", fresh_path(spark, "texts")).option("compression", "none").bucketBy(parts, "t1", "t2").saveAsTable(name)
+    found.write.option("path", path).option("compression", "none").bucketBy(parts, "t1", "t2").saveAsTable(name)
     return spark.table(name)
 
 
@@ -325,8 +330,8 @@ def _runs_table(texts: DataFrame) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, context, low, high, hot, shard, bytes) of one run of each wanted context; a shard is what one task reads."""
-    lists = wanted.groupBy("run.t1", "run.t2").agg(F.collect_list(F.struct("key", "context", "run.anchor", "run.low", "run.high", "hot")).alias("runs"))
+    """(key, context, low, high, shard, bytes) of one run of each wanted context; a shard is what one task reads."""
+    lists = wanted.groupBy("run.t1", "run.t2").agg(F.collect_list(F.struct("key", "context", "run.anchor", "run.low", "run.high")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % SHARDS
@@ -335,11 +340,59 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = batch.slice(at, 100)
                 rows = []
                 for text, found in zip(_unpacked(part, 0, 1), part.column(2).to_pylist()):
-                    rows += [(r["key"], r["context"], r["low"], r["high"], r["hot"], shard, text[r["anchor"] - r["high"] : r["anchor"] - r["low"] + WINDOW]) for r in found]
-                kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.bool_(), pa.int8(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "context", "low", "high", "hot", "shard", "bytes"])
+                    rows += [(r["key"], r["context"], r["low"], r["high"], shard, text[r["anchor"] - r["high"] : r["anchor"] - r["low"] + WINDOW]) for r in found]
+                kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int8(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "context", "low", "high", "shard", "bytes"])
+
+    return texts.join(lists, ["t1", "t2"]).select("n", "z", "runs").mapInArrow(run, CONTEXTS)
 
-    return texts.join(lists, ["t1", "t2"]).select("n", "z", "runs").mapInArrow(run, "key long, context long, low short, high short, hot boolean, shard byte, bytes binary")
+
+def parts_of(key: int, low: int, high: int, data: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Keys, contexts, low and high of the parts of `width` strings of one context (whose first byte is `high` before the anchor).
+
+    A part's key is of the bytes that all its strings share, which equal strings have in common.
+    """
+    slab = Slab(data)
+    least = np.arange(low // width, high // width + 1) * width
+    most = np.minimum(least + width - 1, WINDOW - KMER)
+    first, last = np.maximum(least, low), np.minimum(most, high)
+    at = least.astype(np.uint64) * _MIX
+    keys = _mixed(slab.hashes(high - least, high - most + WINDOW) + at + np.uint64(key & 0xFFFFFFFFFFFFFFFF))
+    contexts = _mixed(slab.hashes(high - last, high - first + WINDOW) + (first * 1024 + last).astype(np.uint64) * _MIX)
+    return keys.view(np.int64), contexts.view(np.int64), first, last
+
+
+def _parted(contexts: DataFrame, width: int) -> DataFrame:
+    """(key, context, part_key, part_context, low, high) of the parts of all contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                found, count = [], []
+                for key, low, high, data in zip(*(c.to_pylist() for c in batch.slice(at, 500).select(["key", "low", "high", "bytes"]).columns)):
+                    found.append(parts_of(key, low, high, np.frombuffer(data, np.uint8), width))
+                    count.append(len(found[-1][0]))
+                parents = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False)[at : at + 500], count) for k in (0, 1)]
+                columns = [*parents, *[np.concatenate(c) for c in zip(*found)]]
+                kinds = [pa.int64()] * 4 + [pa.int16()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)], names=["key", "context", "part_key", "part_context", "low", "high"])
+
+    return contexts.select("key", "context", "low", "high", "bytes").mapInArrow(run, "key long, context long, part_key long, part_context long, low short, high short")
+
+
+def _part_bytes(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Contexts of parts, cut out of the contexts that they are parts of; `wanted` has part_key, part_context and `of` (key, context, low, high)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top, data, low, high = (batch.column(k).to_pylist() for k in (5, 6, 2, 3))
+            cut = [d[t - h : t - a + WINDOW] for d, t, a, h in zip(data, top, low, high)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(cut, pa.binary())], names=["key", "context", "low", "high", "shard", "bytes"])
+
+    parts = wanted.select(F.col("of.key").alias("key"), F.col("of.context").alias("context"), "part_key", "part_context", F.col("of.low").alias("part_low"), F.col("of.high").alias("part_high"))
+    both = contexts.join(parts, ["key", "context"])
+    both = both.select(F.col("part_key").alias("key"), F.col("part_context").alias("context"), F.col("part_low").alias("low"), F.col("part_high").alias("high"), "shard", F.col("high").alias("top"), "bytes")
+    return both.mapInArrow(run, CONTEXTS)
 
 
 def _merged(contexts: DataFrame) -> DataFrame:
@@ -371,52 +424,64 @@ def _merged(contexts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, context long, a short, b short")
 
 
-def _counted(contexts: DataFrame) -> DataFrame:
-    """(key, context, a, b) as _merged, for keys with very many contexts: strings' hashes are counted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                key, context, low, high, data = row
-                slab = Slab(np.frombuffer(data, np.uint8))
-                at = np.arange(high - low + 1)
-                h = (slab.hashes(at, at + WINDOW) ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, context)), pa.array((high - at).astype(np.int16)), pa.array(h)], names=["key", "context", "a", "h"])
-
-    strings = contexts.select("key", "context", "low", "high", "bytes").mapInArrow(run, "key long, context long, a short, h long")
-    again = strings.groupBy("h", "a").agg(F.count("*").alias("n")).filter("n > 1").select("h", "a")
-    return strings.join(again, ["h", "a"]).select("key", "context", "a", F.col("a").alias("b"))
+def _divided(contexts: DataFrame, scratch: Scratch, width: int, bound: int, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, context, a, b) as _merged; keys with more than `bound` contexts are dealt out by parts of `width` strings, which go to `then`."""
+    label = f"width-{width}"
+    sizes = scratch.keep(contexts.groupBy("key").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > bound).select("key"), f"{label}-many")
+    many = contexts.join(sizes, "key", "left_semi")
+    parts = scratch.keep(_parted(many, width), f"{label}-parts")
+    each = parts.groupBy("part_key", "part_context").agg(F.count("*").alias("n"), F.min(F.struct("key", "context", "low", "high")).alias("of"))
+    each = scratch.keep(each, f"{label}-each")
+    whole = each.filter("n > 1").select("part_key", "part_context", F.lit(0).cast("short").alias("a"), F.lit(WINDOW).cast("short").alias("b"))
+    if width > 1:  # a part of one string has one context
+        mixed = each.groupBy("part_key").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("part_key")
+        left = scratch.keep(_part_bytes(many, each.join(mixed, "part_key", "left_semi")), f"{label}-bytes")
+        found = then(left).withColumnsRenamed({"key": "part_key", "context": "part_context"})
+        whole = whole.unionByName(found.join(each.filter("n = 1").select("part_key", "part_context"), ["part_key", "part_context"], "left_semi"))
+    found = parts.join(whole, ["part_key", "part_context"]).select("key", "context", F.greatest("low", "a").alias("a"), F.least("high", "b").alias("b"))
+    return _merged(contexts.join(sizes, "key", "left_anti")).unionByName(found)
 
 
 def removals(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept_sha256 of every row of `docs` (id, text).
+    """id, n_bytes, n_removed, n_spans, kept_sha256, repeated, n_kept and spans of every row of `docs` (id, text).
 
     A byte goes if a string of WINDOW bytes that covers it also starts anywhere else in the
     corpus, the same text included; strings don't cross texts and are judged on the input. Null
     text counts as empty. A text that occurs more than once goes as a whole if it has WINDOW bytes
-    or more. Rows with a null id and repeated rows stay; an empty table gives an empty result.
+    or more. `repeated` says whether anything goes, n_kept how many bytes stay, and spans what
+    goes (begin:end in bytes, the end exclusive, comma-joined). Rows with a null id and repeated
+    rows stay; an empty table gives an empty result. Texts of any length are judged as a whole.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     # Two 64-bit hashes name a text.
     named = docs.select(id_column, text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
-    texts = _texts_table(named)
-    copies = keep(named.groupBy("t1", "t2").agg(F.count("*").alias("copies")), "copies")
-    runs = keep(_runs_table(texts), "runs")
+    name = f"fingerloom_texts_{uuid.uuid4().hex}"
+    with small_batches(spark), Scratch(spark, "repeats") as scratch:
+        try:
+            judged = keep(_judged(named, _texts_table(named, name, f"{scratch.path}/texts"), scratch), "judged")
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return named.select(id_column, "t1", "t2").join(judged, ["t1", "t2"]).drop("t1", "t2")
+
+
+def _judged(named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """What becomes of each distinct text."""
+    copies = scratch.keep(named.groupBy("t1", "t2").agg(F.count("*").alias("copies")), "copies")
+    runs = scratch.keep(_runs_table(texts), "runs")
     keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("context").alias("c1"), F.max("context").alias("c2")).filter("n > 1")
     # A written table, so that the runs of a key that is everywhere can be split where they are joined.
-    keys = keep(keys.select("key", (F.col("c1") != F.col("c2")).alias("mixed")), "keys")
-    live = keep(runs.join(keys, "key"), "live")
+    keys = scratch.keep(keys.select("key", (F.col("c1") != F.col("c2")).alias("mixed")), "keys")
+    live = scratch.keep(runs.join(keys, "key"), "live")
+    scratch.drop("runs", "keys")
     mixed = live.filter("mixed")
     each = mixed.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "anchor", "low", "high")).alias("run"))
-    each = keep(each, "contexts")
-    hot = keep(each.groupBy("key").agg(F.count("*").alias("contexts")).select("key", (F.col("contexts") > MERGED).alias("hot")), "hot")
-    wanted = each.join(hot, "key")
-    contexts = keep(_contexts(texts, wanted), "bytes")
-    partial = _merged(contexts.filter("not hot")).unionByName(_counted(contexts.filter("hot")))
+    each = scratch.keep(each, "contexts")
+    contexts = scratch.keep(_contexts(texts, each), "bytes")
+    single = lambda rest: _divided(rest, scratch, 1, MERGED, _merged)
+    partial = _divided(contexts, scratch, NARROW, FEW, single)
     whole = each.filter("n > 1").select("key", "context", F.lit(0).cast("short").alias("a"), F.lit(WINDOW).cast("short").alias("b"))
-    found = whole.unionByName(partial.join(each.filter("n = 1").select("key", "context"), ["key", "context"]).select("key", "context", "a", "b"))
+    found = whole.unionByName(partial.join(each.filter("n = 1").select("key", "context"), ["key", "context"], "left_semi"))
     begin, end = F.col("anchor") - F.least("high", "b"), F.col("anchor") - F.greatest("low", "a") + WINDOW
     spans = mixed.join(found, ["key", "context"]).select("t1", "t2", begin.alias("begin"), end.alias("end"))
     plain = live.filter("not mixed").select("t1", "t2", (F.col("anchor") - F.col("high")).alias("begin"), (F.col("anchor") - F.col("low") + WINDOW).alias("end"))
@@ -426,33 +491,32 @@ def removals(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                rows = [cut(t, c, s or []) for t, c, s in zip(_unpacked(part, 2, 3), part.column(4).to_pylist(), part.column(5).to_pylist())]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                rows = [judged(t, c, s or []) for t, c, s in zip(_unpacked(part, 2, 3), part.column(4).to_pylist(), part.column(5).to_pylist())]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
                 made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["t1", "t2", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["t1", "t2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated", "n_kept", "spans"])
 
-    judged = texts.join(copies, ["t1", "t2"], "left").join(lists, ["t1", "t2"], "left")
-    judged = judged.select("t1", "t2", "n", "z", "copies", "spans").mapInArrow(run, "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    judged = keep(judged, "judged")
-    return named.select(id_column, "t1", "t2").join(judged, ["t1", "t2"]).drop("t1", "t2")
+    every = texts.join(copies, ["t1", "t2"], "left").join(lists, ["t1", "t2"], "left").select("t1", "t2", "n", "z", "copies", "spans")
+    return every.mapInArrow(run, "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, n_kept long, spans string")
+
+
+def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of a text, and its spans where those that meet or overlap are one."""
+    joined: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if joined and begin <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+        else:
+            joined.append((begin, end))
+    edges = [0, *[x for span in joined for x in span], len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), joined
 
 
-def cut(text: bytes, copies: int, spans: list[dict[str, int]]) -> tuple[int, int, int, str]:
-    """n_bytes, n_removed, n_spans and kept_sha256 of a text without its spans."""
-    if copies > 1 and len(text) >= WINDOW:
-        spans = [{"begin": 0, "end": len(text)}]
-    kept, at, count, removed = [], 0, 0, 0
-    last = -1
-    for begin, end in sorted((s["begin"], s["end"]) for s in spans):
-        if begin > last:
-            kept.append(text[at:begin])
-            count += 1
-            removed += end - begin
-        elif end > last:
-            removed += end - last
-        at = last = max(last, end)
-    kept.append(text[at:])
-    return len(text), removed, count, hashlib.sha256(b"".join(kept)).hexdigest()
+def judged(text: bytes, copies: int, spans: list[dict[str, int]]) -> tuple[int, int, int, str, bool, int, str]:
+    """n_bytes, n_removed, n_spans, kept_sha256, repeated, n_kept and spans of a text."""
+    whole = copies > 1 and len(text) >= WINDOW
+    kept, gone = cut(text, [(0, len(text))] if whole else [(s["begin"], s["end"]) for s in spans])
+    return len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), bool(gone), len(kept), ",".join(f"{a}:{b}" for a, b in gone)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fingerloom.llm.common import as_bytes, keep, small_batches, table, text_slices
+from fingerloom.llm.common import Scratch, as_bytes, keep, small_batches, table, text_slices
 from fingerloom.llm.graph import components
 from fingerloom.llm.ngrams import MIX, STEP, joined, mixed, word_hashes
 
@@ -299,14 +299,14 @@ def shared_only(keyed: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, t1 long")
 
 
-def crossing(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def crossing(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Distinct pairs (a, b) of texts with a key in common and different roots that may be so similar, all of them.
 
     Keys with more than CHUNK texts are compared as pairs of chunks.
     """
     rooted = shared.join(roots.withColumnRenamed("node", "t1"), "t1", "left").select("key", "t1", F.coalesce("root", "t1").alias("root"))
     sizes = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
-    rooted = keep(rooted.join(sizes, "key"), "crossing")
+    rooted = scratch.keep(rooted.join(sizes, "key"), "crossing")
     met = rooted.join(nodes.select("t1", "n", "sketch"), "t1")
     met = met.withColumn("own", F.pmod(F.xxhash64("t1"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "t1", "root", "n", "sketch")
@@ -378,10 +378,16 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     t1 and t2 are two hashes of the text; equal texts are one node, named by t1. Null text counts
     as empty, and all wordless texts are one group. Null ids and repeated rows stay.
     """
-    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
     named = docs.select(id_column, F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
     texts = docs.select(F.xxhash64(text).alias("t1"), text.alias("text"))
+    with small_batches(docs.sparkSession), Scratch(docs.sparkSession, "similar") as scratch:
+        roots = _linked(texts, size, similarity, radius, scratch)
+    return named.join(roots.withColumnRenamed("node", "t1"), "t1", "left").select(id_column, "t1", "t2", F.coalesce("root", "t1").alias("component"))
+
+
+def _linked(texts: DataFrame, size: int, similarity: float, radius: int, scratch: Scratch) -> DataFrame:
+    """(node, root) of the texts (t1, text) that are in a group of several."""
     common, counts = common_shingles(texts, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +405,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
                 made += [pa.array(rarest, pa.list_(pa.int64())), pa.array([len(f[2]) for f in found], pa.int64()), pa.array([sketch(f[2]) for f in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(made, names=["t1", "fp", "keys", "prefix", "n", "sketch"])
 
-    nodes = keep(texts.mapInArrow(run, "t1 long, fp long, keys array<long>, prefix array<long>, n long, sketch binary"), "profiles")
+    nodes = scratch.keep(texts.mapInArrow(run, "t1 long, fp long, keys array<long>, prefix array<long>, n long, sketch binary"), "profiles")
     blocks = nodes.select("t1", F.explode("keys").alias("key"))
     ends = blocks.groupBy("key").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo < hi")
     met = blocks.join(ends, "key").select("t1", F.explode(F.array("lo", "hi")).alias("other")).filter("t1 <> other")
@@ -408,9 +414,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     close = close.join(named_fp.toDF("a", "t1"), "a").join(named_fp.toDF("b", "other"), "b").select("t1", "other")
     met = met.unionByName(close).select(F.least("t1", "other").alias("a"), F.greatest("t1", "other").alias("b")).distinct()
     # A written table, so that a text which many others meet can be split where they are joined.
-    sides = keep(nodes.groupBy("t1").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sides")
+    sides = scratch.keep(nodes.groupBy("t1").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sides")
     pairs = met.join(sides.select("t1", "fp").toDF("a", "fa"), "a").join(sides.select("t1", "fp").toDF("b", "fb"), "b")
-    pairs = keep(pairs.filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= WIDE_RADIUS).select("a", "b"), "pairs")
+    pairs = scratch.keep(pairs.filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= WIDE_RADIUS).select("a", "b"), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,17 +424,16 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
                 good = [jaccard(x, y, size) >= similarity for x, y in zip(as_bytes(part.column(2)), as_bytes(part.column(3)))]
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("t1")).union(pairs.select(F.col("b").alias("t1"))).distinct()
-        chosen = keep(texts.join(wanted, "t1", "left_semi").dropDuplicates(["t1"]), "texts")
+        chosen = scratch.keep(texts.join(wanted, "t1", "left_semi").dropDuplicates(["t1"]), label)
         both = pairs.join(chosen.toDF("a", "ta"), "a").join(chosen.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return both.mapInArrow(verify, "a long, b long")
 
-    roots = components(verified(pairs))
+    roots = components(verified(pairs, "first-texts"))
     shared = shared_only(nodes.select(F.explode("prefix").alias("key"), "t1"))
-    missing = keep(crossing(shared, sides, roots, similarity), "missing")
-    roots = components(roots.toDF("a", "b").unionByName(verified(missing)))
-    return named.join(roots.withColumnRenamed("node", "t1"), "t1", "left").select(id_column, "t1", "t2", F.coalesce("root", "t1").alias("component"))
+    missing = scratch.keep(crossing(shared, sides, roots, similarity, scratch), "missing")
+    return components(roots.toDF("a", "b").unionByName(verified(missing, "missing-texts")))
 
 
 def first_of_groups(docs: DataFrame, grouped: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -35,14 +35,36 @@ def made():
     return texts + [b"a" * 1000, b"a" * 399, b"a" * 400, b"", b"xy" * 700, b"word " * 400, "\u00e9\u00e4 ".encode() * 200, texts[0], texts[0]]
 
 
-@pytest.mark.parametrize("merged,batch", [(20_000, 2 << 20), (20_000, 1), (4, 2 << 20)])
-def test_against_brute_force(spark, monkeypatch, merged, batch):
+@pytest.mark.parametrize("few,merged,batch", [(20_000, 20_000, 1), (3, 20_000, 2 << 20), (2, 1, 2 << 20)])
+def test_against_brute_force(spark, monkeypatch, few, merged, batch):
+    monkeypatch.setattr(repeats, "FEW", few)
     monkeypatch.setattr(repeats, "MERGED", merged)
     monkeypatch.setattr(repeats, "MERGE_BYTES", batch)
     texts = made()
     docs = spark.createDataFrame([(i, t.decode(), 1) for i, t in enumerate(texts)], "doc_id long, text string, key int").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removals(docs).collect()}
+    rows = {r.doc_id: r for r in repeats.removals(docs).collect()}
+    got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in rows.items()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
+    for i, text in enumerate(texts):
+        spans = [tuple(map(int, s.split(":"))) for s in rows[i].spans.split(",") if s]
+        assert len(spans) == rows[i].n_spans and rows[i].repeated == bool(spans) and rows[i].n_kept == rows[i].n_bytes - rows[i].n_removed
+        assert hashlib.sha256(repeats.cut(text, spans)[0]).hexdigest() == rows[i].kept_sha256
+    assert not [t.name for t in spark.catalog.listTables() if "texts" in t.name]  # no table is left behind
+
+
+def test_parts_of_a_context():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 101, repeats.WINDOW + 90).astype(np.uint8)
+    low, high = 30, 120
+    for width in (repeats.PART, repeats.NARROW, 1):
+        keys, contexts, first, last = repeats.parts_of(7, low, high, data, width)
+        assert first[0] == low and last[-1] == high and (first[1:] == last[:-1] + 1).all() and (last - first < width).all()
+        # Another context with the same strings at some distances has their parts' keys, and the contexts where it has whole parts.
+        other = repeats.parts_of(7, low + 20, high - 20, data[20:-20], width)
+        assert np.isin(other[0], keys).all() and np.isin(other[1][1:-1], contexts).all()
+        changed = data.copy()
+        changed[0] ^= 1
+        assert (repeats.parts_of(7, low, high, changed, width)[1] != contexts).sum() == 1
 
 
 def test_merged_transforms_order_all_strings():
