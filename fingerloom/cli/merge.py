@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from fingerloom.operators import reconcile
-from fingerloom.sources.catalog import Catalog, open_catalog
+from fingerloom.sources.catalog import DERIVED, Catalog, open_catalog
 from fingerloom.sources.staging import staged
 
 
@@ -56,36 +56,45 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"merge: {problem}", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.getOrCreate()
-    sources = None
+    sources = mounts = None
     for s in args.sources:
-        rows = open_catalog(spark, s, "ro").files().withColumn("source", F.lit(s))
-        sources = rows if sources is None else sources.unionByName(rows)
-    mounts = sources.select("mount", "source").distinct()
+        opened = open_catalog(spark, s, "ro")
+        rows, named = (df.withColumn("source", F.lit(s)) for df in (opened.files(), opened.named_mounts()))
+        sources, mounts = (rows, named) if sources is None else (sources.unionByName(rows), mounts.unionByName(named))
+    mounts = staged(mounts, "mounts")
     clash = reconcile.mount_collisions(mounts).orderBy("mount").first()
     if clash:
         both = [r.source for r in mounts.filter(F.col("mount") == clash.mount).orderBy("source").collect()]
         print(f"merge: {clash.mount} is in {' and '.join(both)}", file=sys.stderr)
         return 2
-    old = open_catalog(spark, args.into, "ro").files() if os.path.isdir(args.into) else spark.createDataFrame([], sources.drop("source").schema)
+    there = open_catalog(spark, args.into, "ro") if os.path.isdir(args.into) else None
+    old = there.files() if there else spark.createDataFrame([], sources.drop("source").schema)
     kept = old.join(mounts.select("mount").distinct(), "mount", "left_anti")
     algorithms = sorted(r.algo for r in sources.select("algo").unionByName(kept.select("algo")).distinct().collect())
     if len(algorithms) > 1 and not args.allow_mixed:
         print(f"merge: mixed algorithms ({', '.join(algorithms)}); --allow-mixed merges all the same", file=sys.stderr)
         return 2
-    counted = sources.groupBy("mount", "source").agg(F.count("*").alias("n")).orderBy("mount").collect()
-    for r in counted:
-        print(f"{'would merge' if args.dry_run else 'merge'} {r.mount} ({r.n} row{'s' if r.n != 1 else ''} from {r.source})")
-    replaced = old.count() - kept.count()
+    would = "would " if args.dry_run else ""
+    derived = [t for t in DERIVED if there and there.has(t)]
+    if derived:
+        print(f"{would}drop derived tables ({', '.join(derived)}); rebuild them after the merge")
+    census = sources.groupBy("mount", "source").agg(F.count("*").alias("n"))
+    counted = mounts.join(census, ["mount", "source"], "left").fillna(0, ["n"]).orderBy("mount")
+    for r in counted.toLocalIterator():
+        print(f"{would}merge {r.mount} ({r.n} row{'s' if r.n != 1 else ''} from {r.source})")
+    total = reconcile.merge_summary(old, sources, mounts, len(derived)).first()
     if not args.dry_run:
         target = open_catalog(spark, args.into)
-        dropped = target.clean()
-        merged = reconcile.merge_replace(old, sources, mounts)
-        target.write("files", staged(merged, "merged"))
-        if dropped:
-            print(f"dropped: {', '.join(dropped)}")
-    total = sum(r.n for r in counted)
-    print(f"rows: {total}, mounts: {len(counted)}, sources: {len(args.sources)}, replaced: {replaced}")
-    return 1 if total or replaced else 0
+        target.clean()
+        known = staged(reconcile.extend_mounts(target.mounts(), mounts.select(F.col("mount").alias("path"))), "mounts")
+        target.write("files", staged(reconcile.merge_replace(old, sources, mounts), "merged"))
+        target.write("mounts", known)
+    print(f"{would}merge: {total.merged} rows, {total.mounts} mounts, {len(args.sources)} sources")
+    if total.replaced:
+        print(f"{would}replace: {total.replaced} rows")
+    if total.dropped:
+        print(f"{would}drop: {total.dropped} derived tables")
+    return 1 if total.merged or total.replaced or total.dropped else 0
 
 
 if __name__ == "__main__":

@@ -80,3 +80,21 @@ def file_type(mode: Column) -> Column:
 def iso_micros(ns: Column) -> Column:
     """Fixed-width UTC text of a time in nanoseconds, truncated (floored) to microseconds; needs a UTC session."""
     return F.date_format(F.timestamp_micros(F.floor(ns / F.lit(1000).cast("decimal(5,0)")).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def summary_mismatch(stored: Column, now: Column) -> Column:
+    """The first way in which two summaries of a run differ, or null; the order of lists doesn't count."""
+    parts = (("roots", "different roots"), ("sum_mode", "different action"), ("force", "different --force"), ("exclude", "different --exclude"), ("no_ignore", "different --no-ignore"))
+    found = F.lit(None).cast("string")
+    for field, what in reversed(parts):
+        a, b = stored[field], now[field]
+        if field in ("roots", "exclude"):
+            a, b = F.sort_array(a), F.sort_array(b)
+        found = F.when(a.eqNullSafe(b), found).otherwise(F.lit(what))
+    return found
+
+
+def grouping_current(stored: Column, threshold: Column, fn: Column, pairs_built_at: Column) -> Column:
+    """Whether a stored grouping is what a new one would be: the same threshold, the same function if one is asked for, no newer pairs."""
+    newer = F.coalesce(pairs_built_at > stored["built_at"], F.lit(False))
+    return stored.isNotNull() & (stored["threshold"] == threshold) & (fn.isNull() | (stored["fn"] == fn)) & ~newer

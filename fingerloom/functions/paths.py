@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +50,37 @@ def resident_of(path: Column, directory: str) -> Column:
     return path.startswith(f"{directory}/") & (dirname(path) == directory)
 
 
+def below(path: Column, directory: str) -> Column:
+    """A path relative to a directory that holds it ('' is the whole mount)."""
+    return F.substr(path, F.lit(len(directory) + 2)) if directory else path
+
+
+def rerooted(path: Column, directory: str, root: str) -> Column:
+    """A path below a directory, spelled under another root."""
+    return F.concat_ws("/", F.lit(root), below(path, directory))
+
+
+def in_subtree(path: Column, directory: str) -> Column:
+    """Files below a directory as a range of paths, which sorted Parquet is skipped by: from 'directory/' up to 'directory0'."""
+    return (path >= f"{directory}/") & (path < directory + chr(ord("/") + 1)) if directory else F.lit(True)
+
+
+def disjoint(directory: Column, other: Column) -> Column:
+    """Whether neither directory of a mount is, or holds, the other; '' is the mount itself."""
+    inside = lambda a, b: (b == "") | (a == b) | a.startswith(F.concat(b, F.lit("/")))
+    return ~(inside(directory, other) | inside(other, directory))
+
+
+def walk_key(path: Column) -> Column:
+    """What the walk sorts by: for each component files before directories, then the name without regard to case, then the name."""
+
+    @F.pandas_udf("array<array<string>>")
+    def folded(parts: pd.Series) -> pd.Series:  # lower() differs from case folding beyond ASCII
+        return parts.map(lambda names: [["0" if i == len(names) - 1 else "1", n.casefold(), n] for i, n in enumerate(names)])
+
+    return F.flatten(folded(F.split(path, "/")))
+
+
 def ancestors(path: Column) -> Column:
     """All proper ancestor directories of a relative path, '' first."""
     parts = F.split(path, "/")

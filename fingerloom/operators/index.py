@@ -40,6 +40,17 @@ def directory_census(files: DataFrame) -> DataFrame:
     return with_directories(files).groupBy("mount", "directory").agg(F.count("*").alias("n_files"))
 
 
+def count_under(files: DataFrame, mount: str, directory: str) -> DataFrame:
+    """One row: the files of a mount anywhere below a directory."""
+    return files.filter((F.col("mount") == mount) & paths.under(F.col("rel_path"), directory)).agg(F.count("*").alias("n"))
+
+
+def with_mounts(files: DataFrame, mounts: DataFrame) -> DataFrame:
+    """(mount_id, path): each file by its mount's number and its full path; files of other mounts are left out."""
+    numbers = mounts.select(F.col("id").alias("mount_id"), F.col("path").alias("mount"))
+    return files.join(numbers, "mount").select("mount_id", paths.full_path(F.col("mount"), F.col("rel_path")).alias("path"))
+
+
 def not_empty(files: DataFrame, empty_digests: dict[str, str]) -> DataFrame:
     """Files that hold bytes, by their algorithm's digest of nothing and, where it is known, by size."""
     keep = F.col("size").isNull() | (F.col("size") != 0)

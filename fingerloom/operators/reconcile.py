@@ -49,11 +49,23 @@ def resolve_moves(candidates: DataFrame) -> DataFrame:
     return judged.select("lost", F.when(good, F.col("found")).alias("found"), F.when(good, "match").otherwise("ambiguous").alias("outcome"))
 
 
+def last_by_location(new: DataFrame) -> DataFrame:
+    """One row for each location: that of the highest `position`, if there is such a column, then by the other columns' values."""
+    first = [c for c in ("position",) if c in new.columns]
+    rest = [c for c in new.columns if c not in IDENTITY + first]
+    last = new.groupBy(*IDENTITY).agg(F.max(F.struct(*first, *rest)).alias("row"))
+    return last.select(*IDENTITY, *[F.col(f"row.{c}").alias(c) for c in rest])
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows replace old ones of the same location; null locate columns keep what was there."""
+    """New rows replace old ones of the same location; null locate columns keep what was there.
+
+    A location has one row, whatever `new` says: of several the last one counts (see
+    last_by_location), as if they had been written one after the other.
+    """
     columns = [c for c in old.columns if c not in IDENTITY]
     o = old.select(*IDENTITY, *[F.col(c).alias(f"old_{c}") for c in columns], F.lit(True).alias("old_row"))
-    n = new.select(*IDENTITY, *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("new_row"))
+    n = last_by_location(new).select(*IDENTITY, *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("new_row"))
     both = o.join(n, IDENTITY, "full_outer")
     pick = [F.coalesce(f"new_{c}", f"old_{c}") if c in LOCATE else F.when(F.col("new_row"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")) for c in columns]
     return both.select(*IDENTITY, *[p.alias(c) for p, c in zip(pick, columns)])
@@ -62,14 +74,14 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 def update_stat(old: DataFrame, stat: DataFrame) -> DataFrame:
     """Locate columns of existing rows overwritten, nulls included; other rows of `stat` are ignored."""
     there = [c for c in LOCATE if c in stat.columns]
-    s = stat.select(*IDENTITY, *[F.col(c).alias(f"new_{c}") for c in there], F.lit(True).alias("hit"))
+    s = stat.dropDuplicates(IDENTITY).select(*IDENTITY, *[F.col(c).alias(f"new_{c}") for c in there], F.lit(True).alias("hit"))
     both = old.join(s, IDENTITY, "left")
     return both.select(*[F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in there else F.col(c) for c in old.columns])
 
 
 def mirror_rows(documents: DataFrame) -> DataFrame:
-    """One row for each algorithm and digest of each file's metadata document."""
-    return documents.select(*[c for c in documents.columns if c != "digests"], F.explode("digests").alias("algo", "digest"))
+    """One row for each algorithm and digest of each file's metadata document, with its `position` there."""
+    return documents.select(*[c for c in documents.columns if c != "digests"], F.posexplode("digests").alias("position", "algo", "digest"))
 
 
 def extend_mounts(known: DataFrame, paths_seen: DataFrame) -> DataFrame:
@@ -86,6 +98,20 @@ def merge_replace(target: DataFrame, sources: DataFrame, source_mounts: DataFram
     return kept.unionByName(sources.select(*target.columns))
 
 
+def merge_summary(target: DataFrame, sources: DataFrame, source_mounts: DataFrame, dropped: int = 0) -> DataFrame:
+    """One row: merged, replaced, mounts, sources and dropped (derived tables that the merge makes stale)."""
+    named = source_mounts.select("mount").distinct()
+    parts = [
+        sources.agg(F.count("*").alias("merged")),
+        target.join(named, "mount", "left_semi").agg(F.count("*").alias("replaced")),
+        source_mounts.agg(F.count_distinct("mount").alias("mounts"), F.count_distinct("source").alias("sources")),
+    ]
+    first, *rest = [p.withColumn("k", F.lit(1)) for p in parts]
+    for part in rest:  # one row each
+        first = first.join(part, "k")
+    return first.drop("k").withColumn("dropped", F.lit(dropped).cast("long"))
+
+
 def mount_collisions(named: DataFrame) -> DataFrame:
     """Mounts (mount, source) that more than one source names."""
     return named.groupBy("mount").agg(F.count_distinct("source").alias("sources")).filter("sources > 1")

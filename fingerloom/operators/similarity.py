@@ -80,10 +80,12 @@ def scored_pairs(files: DataFrame, fn: str = DEFAULT_FN, *, max_df: int = 0, nam
     if name_match:
         tokens = tokens.withColumn("dir_name", F.substring_index(F.col("dir_id").cast("string"), "/", -1))
         key = (*key, "dir_name")
-    a, b = _sides(tokens, key)
-    joined = a.join(b, list(key)).filter("dir_id_a < dir_id_b").withColumnsRenamed({"dir_id_a": "dir_a", "dir_id_b": "dir_b"})
+    a, b = (side.withColumnRenamed(f"dir_id_{k}", f"dir_{k}") for k, side in zip("ab", _sides(tokens, key)))
     if max_df:
-        joined = joined.join(nominated(tokens, key, max_df), ["dir_a", "dir_b"], "left_semi")
+        # Candidates first: a token that is everywhere meets only in pairs that a rarer one has nominated.
+        joined = nominated(tokens, key, max_df).join(a, "dir_a").join(b, ["dir_b", *key])
+    else:
+        joined = a.join(b, list(key)).filter("dir_a < dir_b")
     if kind.partial:
         same = (F.col("algo_a") == F.col("algo_b")) & (F.col("digest_a") == F.col("digest_b"))
         met = joined.groupBy("dir_a", "dir_b").agg(F.sum(F.when(same, 3).otherwise(1)).alias("points"), F.count("*").alias("matched"))

@@ -97,11 +97,12 @@ def stamp(spark: SparkSession, walked: DataFrame, *, sum_mode: bool, force: bool
         located = [(F.col(c) if locate else F.lit(None)).alias(c) for c in reconcile.LOCATE]
         rows = held.select("mount", "rel_path", "inode", F.col("m.digests").alias("digests"), F.col("m.file_mtime").alias("file_mtime"), F.col("m.hashed_at").alias("hashed_at"), F.col("m.run_started_at").alias("run_started_at"), F.col("m.version").alias("version"), *located)
         names = [c.split()[0] for c in FILES_SCHEMA.split(", ")]
-        mirrored = reconcile.mirror_rows(rows).select(*names)
+        mirrored = reconcile.mirror_rows(rows).select(*names, "position")
         table = reconcile.upsert(catalog.files(), mirrored)
         if locate:
             table = reconcile.update_stat(table, done.filter("outcome = 'none'").select("mount", "rel_path", *reconcile.LOCATE))
         catalog.write("files", table.select(*names))
+        catalog.write("mounts", staged(reconcile.extend_mounts(catalog.mounts(), rows.select(F.col("mount").alias("path"))), "mounts"))
     return done.select("root_order", "walk_key", "path", "size", "outcome", "reason", "error")
 
 

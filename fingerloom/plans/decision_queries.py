@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fingerloom.functions import decisions, text
+from fingerloom.operators.numbering import running
 from fingerloom.plans.declare import Queries
 
 _q = Queries()
@@ -67,13 +67,81 @@ _q.add("agg_run_summary", "stamps", lambda s: _verified(s).groupBy("outcome").ag
 
 
 def _prefix(s: DataFrame) -> DataFrame:
-    """Ordinal and bytes already done, within each customer's files in order; the current file isn't counted."""
-    order = Window.partitionBy("c").orderBy("inode")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return _rehash(s).filter("rehash").select("c", "inode", F.row_number().over(order).cast("long").alias("ordinal"), F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("done"))
+    """Number and bytes already done of each file that will be hashed, in the order of one walk over all; the file itself isn't counted."""
+    return running(_rehash(s).filter("rehash").select("c", "inode", "size"), "ordinal", "done", "size", "c", "inode").drop("size")
 
 
-_q.add("win_running_prefix", "stamps", _prefix, f" SELECT c, inode, row_number() OVER w AS ordinal, coalesce(sum(size) OVER (PARTITION BY c ORDER BY inode ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS done FROM (SELECT *, {_REHASH} AS reason FROM stamps) WHERE reason <> 'up-to-date' WINDOW w AS (PARTITION BY c ORDER BY inode)")
+_RUN = f"SELECT c, inode, row_number() OVER w AS ordinal, coalesce(sum(size) OVER (ORDER BY c, inode ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS done FROM (SELECT *, {_REHASH} AS reason FROM stamps) WHERE reason <> 'up-to-date' WINDOW w AS (ORDER BY c, inode)"
+_q.add("win_running_prefix", "stamps", _prefix, " " + _RUN)
+
+
+def _shown_prefix(s: DataFrame) -> DataFrame:
+    """The text before each file's line: its number and the bytes done, each of the prescan's totals."""
+    total = _rehash(s).filter("rehash").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    every = _prefix(s).withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k")  # one row of totals
+    return every.select("inode", text.prescan_prefix_column(F.col("ordinal"), F.col("n"), F.col("done"), F.col("bytes")).alias("shown"))
+
+
+def _size_sql(x: str) -> str:
+    unit = f"(CASE WHEN {x} >= 1048576 THEN 2 WHEN {x} >= 1024 THEN 1 ELSE 0 END)"
+    one = f"printf('%.1f', {x} / power(1024, {unit}))"
+    return f"(CASE WHEN {unit} = 0 THEN {x} || 'B' ELSE (CASE WHEN length({one}) > 5 THEN printf('%.0f', {x} / power(1024, {unit})) ELSE {one} END) || ['B', 'KiB', 'MiB'][{unit} + 1] END)"
+
+
+_PCT = "'(' || printf('%3.0f', CASE WHEN {1} = 0 THEN 100.0 ELSE 100.0 * {0} / {1} END) || '%)'"
+_q.add(
+    "fn_prefix",
+    "stamps",
+    _shown_prefix,
+    f", r AS ({_RUN}), t AS (SELECT count(*) AS n, sum(size)::BIGINT AS b FROM (SELECT *, {_REHASH} AS reason FROM stamps) WHERE reason <> 'up-to-date')"
+    f" SELECT inode, lpad(ordinal::VARCHAR, length(n::VARCHAR)::INTEGER, '0') || '/' || n || ' ' || {_PCT.format('ordinal', 'n')} || '  ' || {_size_sql('done')} || '/' || {_size_sql('b')} || ' ' || {_PCT.format('done', 'b')} || '  ' AS shown FROM r, t",
+)
+_q.add("fn_pct", "stamps", lambda s: s.select("inode", text.percent_column(F.col("size"), F.col("c") % 40).alias("shown")), f" SELECT inode, {_PCT.format('size', '(c % 40)')} AS shown FROM stamps")
+_q.add(
+    "fn_human_size_grouper",
+    "stamps",
+    lambda s: s.select("inode", text.human_size_column(F.col("inode") * F.col("inode") * F.col("size"), drop_long=False).alias("shown")),
+    ", v AS (SELECT inode, inode * inode * size AS x FROM stamps), u AS (SELECT *, CASE WHEN x >= 1099511627776 THEN 4 WHEN x >= 1073741824 THEN 3 WHEN x >= 1048576 THEN 2 WHEN x >= 1024 THEN 1 ELSE 0 END AS k FROM v)"
+    " SELECT inode, CASE WHEN k = 0 THEN x || 'B' ELSE printf('%.1f', x / power(1024, k)) || ['B', 'KiB', 'MiB', 'GiB', 'TiB'][k + 1] END AS shown FROM u",
+)
+_q.add(
+    "fn_human_count",
+    "stamps",
+    lambda s: s.select("inode", text.human_count_column(F.col("inode") * F.col("inode") * F.col("size")).alias("shown")),
+    ", v AS (SELECT inode, (inode * inode * size)::DOUBLE AS x FROM stamps) SELECT inode, CASE WHEN x >= 1e9 THEN printf('%.2f', x / 1e9) || 'G' WHEN x >= 1e6 THEN printf('%.2f', x / 1e6) || 'M' WHEN x >= 1e3 THEN printf('%.1f', x / 1e3) || 'k' ELSE printf('%.0f', x) END AS shown FROM v",
+)
+_q.add("fn_eta", "stamps", lambda s: s.select("inode", text.eta_column(F.col("inode") % 9000).alias("shown")), " SELECT inode, CASE WHEN t >= 3600 THEN (t // 3600) || 'h' || lpad((t // 60 % 60)::VARCHAR, 2, '0') || 'm' WHEN t >= 60 THEN (t // 60) || 'm' || lpad((t % 60)::VARCHAR, 2, '0') || 's' ELSE t || 's' END AS shown FROM (SELECT inode, inode % 9000 AS t FROM stamps)")
+_q.add("fn_elapsed", "stamps", lambda s: s.select("inode", text.elapsed_column(F.col("inode") % 90000).alias("shown")), " SELECT inode, (t // 3600) || ':' || lpad((t // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0') AS shown FROM (SELECT inode, inode % 90000 AS t FROM stamps)")
+
+
+def _two_summaries(s: DataFrame) -> DataFrame:
+    """A stored summary and this run's, which differ in what the inode says."""
+    flag = lambda n: F.col("inode") % n == 0
+
+    def made(now: bool):
+        roots = F.when(F.lit(now) & flag(7), F.array(F.lit("/a"), F.lit("/c"))).when(F.lit(now), F.array(F.lit("/b"), F.lit("/a"))).otherwise(F.array(F.lit("/a"), F.lit("/b")))
+        exclude = F.when(F.lit(now) & flag(3), F.array(F.lit("*.tmp"))).otherwise(F.array().cast("array<string>"))
+        return F.struct(roots.alias("roots"), (F.lit(now) & flag(5)).alias("sum_mode"), (F.lit(now) & flag(4)).alias("force"), exclude.alias("exclude"), (F.lit(now) & flag(2)).alias("no_ignore"))
+
+    return s.select("inode", decisions.summary_mismatch(made(False), made(True)).alias("why"))
+
+
+_q.add("prd_summary_mismatch", "stamps", _two_summaries, " SELECT inode, CASE WHEN inode % 7 = 0 THEN 'different roots' WHEN inode % 5 = 0 THEN 'different action' WHEN inode % 4 = 0 THEN 'different --force' WHEN inode % 3 = 0 THEN 'different --exclude' WHEN inode % 2 = 0 THEN 'different --no-ignore' END AS why FROM stamps")
+_FNS = "CASE inode % 3 WHEN 0 THEN 'digest' WHEN 1 THEN 'name-score' END"
+_q.add(
+    "meta_current",
+    "stamps",
+    lambda s: s.select(
+        "inode",
+        decisions.grouping_current(
+            F.when(F.col("c") % 9 != 0, F.struct((F.col("c") % 4 / 4).alias("threshold"), F.when(F.col("c") % 2 == 0, "digest").otherwise("name-score").alias("fn"), F.col("file_mtime").alias("built_at"))),
+            F.lit(0.5),
+            F.when(F.col("inode") % 3 == 0, "digest").when(F.col("inode") % 3 == 1, "name-score"),
+            F.when(F.col("c") % 5 != 0, F.col("live_mtime")),
+        ).alias("current"),
+    ),
+    f" SELECT inode, c % 9 <> 0 AND c % 4 = 2 AND (({_FNS}) IS NULL OR CASE WHEN c % 2 = 0 THEN 'digest' ELSE 'name-score' END = ({_FNS})) AND NOT (c % 5 <> 0 AND live_mtime > file_mtime) AS current FROM stamps",
+)
 _q.add("fn_major", "stamps", lambda s: s.filter("version IS NOT NULL").select("inode", decisions.major_of(F.col("version")).alias("major")), " SELECT inode, cast(split_part(version, '.', 1) AS integer) AS major FROM stamps WHERE version IS NOT NULL")
 _q.add(
     "fn_iso_ns",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fingerloom.functions import paths
 from fingerloom.functions.metadata import EMPTY_DIGESTS
 from fingerloom.operators import duplicates, index
+from fingerloom.operators.numbering import numbered
 from fingerloom.plans.declare import Queries
 
 _q = Queries()
@@ -31,7 +32,7 @@ _q.add(
     lambda f: index.with_directories(f).groupBy("mount", "directory").agg(F.bool_or(~paths.is_hidden_name(F.col("basename"))).alias("visible")),
     f" SELECT mount, {_D} AS directory, bool_or({_B} NOT LIKE '.%') AS visible FROM files GROUP BY ALL",
 )
-_q.add("flt_range_subtree", "files", lambda f: f.filter((F.col("rel_path") >= "src5/") & (F.col("rel_path") < "src50")), " SELECT * FROM files WHERE rel_path >= 'src5/' AND rel_path < 'src50'")
+_q.add("flt_range_subtree", "files", lambda f: f.filter(paths.in_subtree(F.col("rel_path"), "src5")), " SELECT * FROM files WHERE rel_path >= 'src5/' AND rel_path < 'src50'")
 _q.add(
     "flt_empty_digest",
     "files",
@@ -66,11 +67,11 @@ _q.add("jn_file_dir", "files", lambda f: index.build_index(f).select("dir_id", "
 _q.add(
     "jn_mount",
     "files",
-    lambda f: f.join(F.broadcast(f.sparkSession.createDataFrame([("/mnt/en", 1), ("/mnt/de", 2), ("/mnt/fr", 3)], "mount string, mount_id int")), "mount").select("mount_id", F.concat_ws("/", "mount", "rel_path").alias("path")),
+    lambda f: index.with_mounts(f, f.sparkSession.createDataFrame([(1, "/mnt/en"), (2, "/mnt/de"), (3, "/mnt/fr")], "id int, path string")),
     " SELECT cast(CASE mount WHEN '/mnt/en' THEN 1 WHEN '/mnt/de' THEN 2 ELSE 3 END AS integer) AS mount_id, mount || '/' || rel_path AS path FROM files WHERE mount IN ('/mnt/en', '/mnt/de', '/mnt/fr')",
 )
 _q.add("agg_dir_census", "files", lambda f: index.directory_census(f), f" SELECT mount, {_D} AS directory, count(*) AS n_files FROM files GROUP BY ALL")
-_q.add("agg_count_under", "files", lambda f: f.filter((F.col("mount") == "/mnt/en") & paths.under(F.col("rel_path"), "src10")).agg(F.count("*").alias("n")), " SELECT count(*) AS n FROM files WHERE mount = '/mnt/en' AND rel_path LIKE 'src10/%'")
+_q.add("agg_count_under", "files", lambda f: index.count_under(f, "/mnt/en", "src10"), " SELECT count(*) AS n FROM files WHERE mount = '/mnt/en' AND rel_path LIKE 'src10/%'")
 _q.add("agg_dupes", "files", lambda f: duplicates.duplicate_files(f), " SELECT algo, digest, n, mount, rel_path, inode FROM (SELECT *, count(*) OVER (PARTITION BY algo, digest) AS n FROM files) WHERE n >= 2")
 _q.add("agg_top_digests", "files", lambda f: duplicates.top_digests(f, 5, EMPTY_DIGESTS), f" SELECT algo, digest, count(*) AS n FROM files WHERE NOT (algo = 'md5' AND digest = '{EMPTY_DIGESTS['md5']}') AND (size IS NULL OR size <> 0) GROUP BY algo, digest HAVING count(*) >= 2 ORDER BY n DESC, digest, algo LIMIT 5")
 _q.add("lim_top", "files", lambda f: duplicates.top_digests(f, 1, EMPTY_DIGESTS, 3), f" SELECT algo, digest, count(*) AS n FROM files WHERE digest <> '{EMPTY_DIGESTS['md5']}' AND (size IS NULL OR size <> 0) GROUP BY algo, digest HAVING count(*) >= 3 ORDER BY n DESC, digest, algo LIMIT 1")
@@ -78,4 +79,19 @@ _q.add("agg_distinct_inodes", "files", lambda f: duplicates.duplicate_digests(f)
 _q.add("srt_ls", "files", lambda f: index.list_directory(f, "/mnt/en/src10"), f" SELECT rel_path, coalesce(cast(size AS varchar), '?') AS shown, algo, digest FROM files WHERE mount = '/mnt/en' AND {_D} = 'src10' ORDER BY rel_path")
 _q.add("jn_resolve_dir", "files", lambda f: index.resolve_directory(f, "src10/src11"), f" SELECT DISTINCT mount, {_D} AS directory, mount || '/' || {_D} AS dir_id FROM files WHERE {_D} = 'src10/src11' ORDER BY mount LIMIT 1")
 _q.add("fn_dir_rel", "files", lambda f: f.select("rel_path", paths.join_path(F.lit(""), paths.dirname(F.col("rel_path")), F.lit("x")).alias("joined")), f" SELECT rel_path, {_D} || '/x' AS joined FROM files")
-_q.add("fn_rooted", "files", lambda f: f.filter(paths.under(F.col("rel_path"), "src10")).select(F.concat(F.lit("/root/as/given/"), F.expr("substr(rel_path, 7)")).alias("path")), " SELECT '/root/as/given/' || substr(rel_path, 7) AS path FROM files WHERE rel_path LIKE 'src10/%'")
+_q.add("fn_rooted", "files", lambda f: f.filter(paths.under(F.col("rel_path"), "src10")).select(paths.rerooted(F.col("rel_path"), "src10", "/root/as/given").alias("path")), " SELECT '/root/as/given/' || substr(rel_path, 7) AS path FROM files WHERE rel_path LIKE 'src10/%'")
+_KEY = "flatten([[CASE WHEN i = len(p) THEN '0' ELSE '1' END, lower(p[i]), p[i]] FOR i IN range(1, len(p) + 1)])"
+_q.add(
+    "srt_walk_key",
+    "files",
+    lambda f: numbered(f.select("mount", "rel_path", paths.walk_key(F.col("rel_path")).alias("key")), "position", "mount", "key").drop("key"),
+    f" SELECT mount, rel_path, row_number() OVER (ORDER BY mount, {_KEY}) AS position FROM (SELECT mount, rel_path, string_split(rel_path, '/') AS p FROM files)",
+)
+_ROOTS = [("/mnt/en", "src10"), ("/mnt/fr", ""), ("/mnt/de", "src15/src16"), ("/mnt/es", "src1")]
+_q.add(
+    "prd_disjoint",
+    "files",
+    lambda f: index.with_directories(f).select("mount", "directory").distinct().join(f.sparkSession.createDataFrame(_ROOTS, "mount string, root string"), "mount").select("mount", "directory", paths.disjoint(F.col("directory"), F.col("root")).alias("disjoint")),
+    f", roots AS (SELECT * FROM (VALUES ('/mnt/en', 'src10'), ('/mnt/fr', ''), ('/mnt/de', 'src15/src16'), ('/mnt/es', 'src1')) v(mount, root)), d AS (SELECT DISTINCT mount, {_D} AS directory FROM files)"
+    " SELECT mount, directory, NOT (root = '' OR directory = '' OR directory = root OR starts_with(directory, root || '/') OR starts_with(root, directory || '/')) AS disjoint FROM d JOIN roots USING (mount)",
+)

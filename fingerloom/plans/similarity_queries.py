@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fingerloom.operators import grouping, index, similarity
+from fingerloom.operators.numbering import numbered
 from fingerloom.plans.declare import Queries
 from fingerloom.plans.index_queries import INDEX, PLACED
 from fingerloom.sources.staging import staged
@@ -67,7 +68,12 @@ _q.add(
 )
 _q.add("jn_name_gate", "files", lambda f: _scored(index.build_index(f), name_match=True), INDEX + " " + name_pairs("idx", more=" AND regexp_extract(s.dir_id, '([^/]*)$', 1) = regexp_extract(t.dir_id, '([^/]*)$', 1)"))
 _q.add("report_compare", "baskets", lambda b: similarity.compare(b, 1, 2).select(F.format_string("%.4f", "similarity").alias("shown")), ", two AS (SELECT * FROM baskets WHERE dir_id IN (1, 2)) SELECT printf('%.4f', coalesce(max(similarity), 0.0)) AS shown FROM (" + name_pairs("two") + ")")
-_q.add("win_walk_rank", "baskets", lambda b: _scored(b).orderBy(F.desc("similarity"), F.desc("matched"), "dir_a", "dir_b").limit(100), " SELECT * FROM (" + name_pairs("baskets") + ") ORDER BY similarity DESC, matched DESC, dir_a, dir_b LIMIT 100")
+_q.add(
+    "win_walk_rank",
+    "baskets",
+    lambda b: numbered(_scored(b), "position", F.desc("similarity"), F.desc("matched"), "dir_a", "dir_b"),
+    " SELECT *, row_number() OVER (ORDER BY similarity DESC, matched DESC, dir_a, dir_b) AS position FROM (" + name_pairs("baskets") + ")",
+)
 _q.add(
     "win_best_partner",
     "baskets",

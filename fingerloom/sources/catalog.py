@@ -14,11 +14,13 @@ import re
 import shutil
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FILES_SCHEMA = (
     "mount string, rel_path string, inode long, algo string, digest string, file_mtime string, hashed_at string, run_started_at string, version string,"
     " size long, mode long, uid long, gid long, nlink long, dev long, ctime string, atime string, birthtime string"
 )
+MOUNTS_SCHEMA = "id long, path string"
 DERIVED = ("index", "pairs", "groups")
 _SCHEME = re.compile(r"^[a-z][a-z0-9+.-]*://")
 
@@ -49,6 +51,14 @@ class Catalog:
     def files(self) -> DataFrame:
         return self.read("files", FILES_SCHEMA)
 
+    def mounts(self) -> DataFrame:
+        """(id, path) of every mount that was ever recorded, with rows or without."""
+        return self.read("mounts", MOUNTS_SCHEMA)
+
+    def named_mounts(self) -> DataFrame:
+        """(mount) of the mount table and of the rows."""
+        return self.mounts().select(F.col("path").alias("mount")).union(self.files().select("mount")).distinct()
+
     def write(self, table: str, df: DataFrame, partition_by: str | None = None) -> None:
         if self.mode == "ro":
             raise PermissionError("the database was opened for reading")

@@ -1,8 +1,9 @@
 """Trees of files as a Spark data source.
 
 `spark.read.format("file_walk").option("roots", json_list)` lists regular files with their stat
-columns and metadata documents, one input partition for each directory right below a root and one
-for the root's own files, so that large trees are walked by many tasks. Ordering is by columns:
+columns and metadata documents. The upper levels of a tree are divided into input partitions until
+there are SPLIT of them, so that large trees are walked by many tasks, however they branch. Roots and
+folders that are missing or can't be read have no files; the walk goes on. Ordering is by columns:
 root_order and walk_key sort as the walk visits.
 """
 
@@ -13,7 +14,9 @@ import json
 import os
 import stat as stat_module
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,6 +25,8 @@ from fingerloom.sources import attributes
 
 #: A directory with a file of this name is left out with all below it.
 MARKER = "@fingerloom-ignore"
+#: Folders that the walk of a root is divided into, about.
+SPLIT = 64
 
 SCHEMA = (
     "root_order int, walk_key array<string>, path string, mount string, rel_path string, size long, mode long, uid long, gid long,"
@@ -71,10 +76,41 @@ def visit(top: str, respect_ignore: bool, patterns: list[str], deep: bool = True
                     continue
 
 
+def subfolders(top: str, respect_ignore: bool, patterns: list[str], marker: str = MARKER) -> list[str]:
+    """The directories right in a folder that the walk visits; none if it can't be read or is marked."""
+    try:
+        with os.scandir(top) as it:
+            entries = list(it)
+    except OSError:
+        return []
+    if respect_ignore and any(e.name == marker and not e.is_dir() for e in entries):
+        return []
+    return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and excluded_by(e.name, patterns) is None)
+
+
+def divided(root: str, respect_ignore: bool, patterns: list[str], marker: str = MARKER) -> list[tuple[str, bool]]:
+    """(folder, deep) that together are a tree: folders whose own entries are taken alone, and whole subtrees."""
+    out: list[tuple[str, bool]] = []
+    level = [root]
+    while level:
+        deep = len(out) + len(level) >= SPLIT
+        out += [(folder, deep) for folder in level]
+        level = [] if deep else [below for folder in level for below in subfolders(folder, respect_ignore, patterns, marker)]
+    return out
+
+
 def marked(top: str, marker: str = MARKER) -> bool:
     return os.path.lexists(os.path.join(top, marker))
 
 
+def quietly(found: Iterator[str]) -> Iterator[str]:
+    """What is found until the folder can't be read any more."""
+    try:
+        yield from found
+    except OSError:
+        return
+
+
 class WalkPartition(InputPartition):
     def __init__(self, order: int, root: str, top: str, deep: bool):
         super().__init__((order, root, top, deep))
@@ -94,17 +130,17 @@ class WalkReader(DataSourceReader):
         for k, root in enumerate(self.roots):
             if excluded_by(os.path.basename(os.path.normpath(root)), self.patterns) is not None:
                 continue
-            out.append(WalkPartition(k, root, root, False))
-            if os.path.isdir(root) and not (self.respect and marked(root, self.marker)):
-                with os.scandir(root) as it:
-                    out += [WalkPartition(k, root, e.path, True) for e in it if e.is_dir(follow_symlinks=False) and excluded_by(e.name, self.patterns) is None]
+            if os.path.isfile(root):
+                out.append(WalkPartition(k, root, root, False))
+            else:
+                out += [WalkPartition(k, root, folder, deep) for folder, deep in divided(root, self.respect, self.patterns, self.marker)]
         return out
 
     def read(self, partition: WalkPartition):
         if os.path.isfile(partition.top):
             found: Iterator[str] = iter([partition.top])
         else:
-            found = visit(partition.top, self.respect, self.patterns, partition.deep, self.marker)
+            found = quietly(visit(partition.top, self.respect, self.patterns, partition.deep, self.marker))
         mounts: dict[str, str] = {}
         for path in found:
             parts = os.path.relpath(path, partition.root).split(os.sep)
@@ -157,6 +193,49 @@ def root_warnings(roots: list[str], exclude: list[str], respect_ignore: bool = T
     return out
 
 
+CENSUS = "directory string, fenced boolean, blocks long, junk array<string>, error string"
+
+
+def tree_census(spark: SparkSession, root: str, ignorable: tuple[str, ...], junk_link: Callable[[str, str], bool], marker: str = MARKER) -> DataFrame:
+    """Each directory of a tree, named relative to the root: what in it besides regular files keeps it, and what would be swept.
+
+    blocks counts links that stay and entries of other kinds; junk lists ignorable files and links
+    for which junk_link(path, root) holds. A directory with the marker is fenced: it has one row
+    and nothing below it is looked at. One that can't be read has an error, one that has vanished
+    no row. The tree is divided among tasks as the walk is.
+    """
+    top = os.path.abspath(root)
+
+    def census(folder: str, deep: bool) -> Iterator[tuple[str, bool, int, list[str], str | None]]:
+        name = os.path.relpath(folder, top)
+        name = "" if name == "." else name
+        if marked(folder, marker):
+            yield name, True, 0, [], None
+            return
+        try:
+            folders, files, links, others = scan_directory(folder)
+        except FileNotFoundError:
+            return
+        except OSError as e:
+            yield name, False, 0, [], e.strerror or str(e)
+            return
+        swept = [x for x in links if junk_link(os.path.join(folder, x), top)]
+        yield name, False, len(others) + len(links) - len(swept), [x for x in files if x in ignorable] + swept, None
+        if deep:
+            for x in folders:
+                yield from census(os.path.join(folder, x), True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder, deep in zip(batch["folder"], batch["deep"]):
+                rows = census(folder, bool(deep))
+                while part := list(islice(rows, 10_000)):
+                    yield pd.DataFrame(part, columns=["directory", "fenced", "blocks", "junk", "error"])
+
+    tops = divided(top, True, [], marker)
+    return spark.createDataFrame(tops, "folder string, deep boolean").repartition(len(tops)).mapInPandas(run, CENSUS)
+
+
 def scan_directory(path: str) -> tuple[list[str], list[str], list[str], list[str]]:
     """Names of a directory's real directories, real files, symbolic links and all else, each sorted."""
     kinds: tuple[list[str], ...] = ([], [], [], [])

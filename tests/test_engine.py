@@ -135,3 +135,29 @@ def test_merge_twice_is_merge_once(spark):
 def test_medium_fixture(spark):
     assert registry.QUERIES["agg_dupes"](spark, MEDIUM).count() == 135
     assert registry.QUERIES["jn_move_unique"](spark, MEDIUM).groupBy("outcome").count().orderBy("outcome").collect()[0][1] == 11
+
+
+def test_running_totals(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, 1, 5, 9])) for i in rng.sample(range(500), 200)]
+    got = {r.k: (r.n, r.before) for r in numbering.running(spark.createDataFrame(rows, "k long, v long").repartition(5), "n", "before", "v", "k").collect()}
+    total, want = 0, {}
+    for i, (k, v) in enumerate(sorted(rows)):
+        want[k] = (i + 1, total)
+        total += v or 0
+    assert got == want and numbering.running(spark.createDataFrame([], "k long, v long"), "n", "before", "v", "k").count() == 0
+
+
+def test_a_hot_token_is_not_paired_before_nomination(spark):
+    """A name in every directory makes no pair by itself, however many directories there are."""
+    rows = [(f"d{i}", name, "md5", f"{name}{i % 3}") for i in range(3000) for name in ("readme", f"pair{i // 2}")]
+    files = spark.createDataFrame(rows, "dir_id string, basename string, algo string, digest string")
+    pairs = similarity.scored_pairs(files, max_df=100)
+    assert pairs.count() == 1500 and {r.matched for r in pairs.collect()} == {2}
+
+
+def test_oracles_are_sql():
+    import __spark_entry__
+
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
+    assert set(registry.ORACLES) == set(registry.QUERIES)

@@ -149,6 +149,67 @@ def test_cull(spark, tmp_path, capsys, tree):
     assert cull.main(["--database", db, kept, str(tmp_path / "nowhere")], spark) == 2
 
 
+def test_nothing_below_a_fence_is_touched(spark, tmp_path, capsys, tree):
+    kept, other, db = str(tmp_path / "kept"), str(tmp_path / "other"), str(tmp_path / "db")
+    for side in (kept, other):
+        put(side, "a/b/copy", "same")
+        put(side, "x/copy", "also")
+        put(side, "x/y/z/copy", "deep")
+    put(other, "a/b/.DS_Store", "")
+    put(other, "x/.DS_Store", "")
+    put(other, "x/y/.DS_Store", "")
+    put(other, "only/here/.DS_Store", "")
+    os.symlink("copy", os.path.join(other, "x/link"))
+    os.symlink("/etc", os.path.join(other, "absolute"))
+    stamp.main(["--sum", "--locate", "--database", db, kept, other], spark)
+    put(other, "a/" + walk.MARKER, "")
+    put(other, "odd/.DS_Store", "")
+    os.mkfifo(os.path.join(other, "odd/pipe"))
+    capsys.readouterr()
+    assert cull.main(["--database", db, kept, other], spark) == 1
+    out = capsys.readouterr().out
+    assert f"would delete {other}/x/copy" in out and f"would rmdir {other}/x/y/z/" in out and f"would sweep {other}/x/link" in out and f"{other}/a" not in out.replace(f"{other}/absolute", "")
+    assert "would sweep:   4 items" in out and "would remove:  5 directories" in out and "fenced:        1 directory" in out
+    assert os.path.exists(os.path.join(other, "x/y/z/copy"))
+    assert cull.main(["--database", db, "--delete", kept, other], spark) == 1
+    out = capsys.readouterr().out
+    assert "deleted:       2 files" in out and "swept:         4 items" in out and "removed:       5 directories" in out
+    left = sorted(os.path.relpath(os.path.join(d, n), other) for d, folders, names in os.walk(other) for n in folders + names)
+    assert left == ["a", "a/@fingerloom-ignore", "a/b", "a/b/.DS_Store", "a/b/copy", "absolute", "odd", "odd/.DS_Store", "odd/pipe"]
+    rows = {r.rel_path.rsplit("/other/", 1)[1] for r in open_catalog(spark, db, "ro").files().collect() if "/other/" in r.rel_path}
+    assert rows == {"a/b/copy", "a/b/.DS_Store"}
+    put(other, walk.MARKER, "")
+    assert cull.main(["--database", db, "--delete", kept, other], spark) == 0
+    assert "nothing to do" in capsys.readouterr().err
+
+
+def test_missing_roots_and_folders(spark, tree, tmp_path, monkeypatch):
+    gone = str(tmp_path / "gone")
+    assert walk.walk(spark, [gone, tree]).count() == 5 and walk.walk(spark, [gone]).count() == 0
+    assert stamp.main(["--sum", gone, tree], spark) == 0
+    reader = walk.WalkReader({"roots": f'["{tree}"]'})
+    assert list(reader.read(walk.WalkPartition(0, tree, gone, True))) == []
+    monkeypatch.setattr(walk, "SPLIT", 3)  # a division that cuts subtrees finds the same files
+    parts = walk.WalkReader({"roots": f'["{tree}"]'}).partitions()
+    assert sorted(r[2] for p in parts for r in reader.read(p)) == sorted(r.path for r in walk.walk(spark, [tree]).collect())
+    assert {deep for _, deep in walk.divided(tree, True, [])} == {True, False}
+
+
+def test_overlapping_roots_and_two_digests_give_one_row(spark, tree, tmp_path):
+    db = str(tmp_path / "db")
+    path = os.path.join(tree, "a.txt")
+    stamp.main(["--sum", tree], spark)
+    doc = metadata.loads(attributes.get(path))
+    doc["digests"] = doc["digests"] | {"md5": "d41d8"}
+    attributes.put(path, metadata.dumps(doc))
+    for _ in range(2):
+        stamp.main(["--import", "--locate", "--database", db, tree, os.path.join(tree, "keep"), tree], spark)
+        rows = open_catalog(spark, db, "ro").files().collect()
+        assert len(rows) == 5 == len({r.rel_path for r in rows})
+        assert {r.algo for r in rows if r.rel_path.endswith("a.txt")} == {"md5"}
+    assert [r.path for r in open_catalog(spark, db, "ro").mounts().collect()] == [walk.mount_of(tree)]
+
+
 def test_links_and_offline_sides(tmp_path):
     root = str(tmp_path / "c")
     put(root, "d/a", "x")
@@ -185,6 +246,18 @@ def test_merge(spark, tmp_path, capsys):
     assert merge.main(["--into", target, clash], spark) == 1
     got = sorted((r.mount, r.rel_path, r.digest) for r in open_catalog(spark, target, "ro").files().collect())
     assert got == [("/a", "q", "d4"), ("/b", "z", "d3")]
+    # A source that knows a mount without rows clears it; derived tables go.
+    empty = make("empty", [])
+    open_catalog(spark, empty).write("mounts", spark.createDataFrame([(1, "/a"), (2, "/new")], "id long, path string"))
+    open_catalog(spark, target).write("pairs", spark.range(1))
+    capsys.readouterr()
+    assert merge.main(["--into", target, "-n", empty], spark) == 1
+    assert "would replace: 1 rows" in capsys.readouterr().out and open_catalog(spark, target).has("pairs")
+    assert merge.main(["--into", target, empty], spark) == 1
+    assert "drop: 1 derived tables" in capsys.readouterr().out and not open_catalog(spark, target).has("pairs")
+    assert [(r.mount, r.rel_path) for r in open_catalog(spark, target, "ro").files().collect()] == [("/b", "z")]
+    assert {r.path for r in open_catalog(spark, target, "ro").mounts().collect()} == {"/a", "/b", "/new"}
+    assert merge.main(["--into", target, empty], spark) == 0
 
 
 REJECTED = [
@@ -213,7 +286,7 @@ def test_progress_and_quiet():
     p = stamp.parser()
     for line, quiet, progress in (("--sum -q --progress d", 0, True), ("--sum --progress -fq d", 1, False), ("--sum --progress d", 0, True)):
         args = p.parse_args(line.split())
-        stamp.settle_quiet(line.split(), args)
+        stamp.settle_quiet(args)
         assert (args.quiet, args.progress) == (quiet, progress)
 
 
