@@ -175,6 +175,8 @@ FIRST_KEYS = 4
 SAMPLE = 16
 LEAST_COMMON = 4
 COMMON = 1 << 18
+#: Tasks that the documents of one block are dealt out to.
+SALTS = 8
 #: 64-bit numbers of a sketch.
 SKETCH_WORDS = 16
 
@@ -408,7 +410,10 @@ def _linked(texts: DataFrame, size: int, similarity: float, radius: int, scratch
     nodes = scratch.keep(texts.mapInArrow(run, "t1 long, fp long, keys array<long>, prefix array<long>, n long, sketch binary"), "profiles")
     blocks = nodes.select("t1", F.explode("keys").alias("key"))
     ends = blocks.groupBy("key").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo < hi")
-    met = blocks.join(ends, "key").select("t1", F.explode(F.array("lo", "hi")).alias("other")).filter("t1 <> other")
+    # Rows are salted, for a block that very many documents share would be one task's.
+    salt = F.pmod("t1", F.lit(SALTS)).cast("int")
+    ends = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = blocks.withColumn("salt", salt).join(ends, ["key", "salt"]).select("t1", F.explode(F.array("lo", "hi")).alias("other")).filter("t1 <> other")
     named_fp = nodes.groupBy("fp").agg(F.min("t1").alias("t1"))
     close = close_edges(named_fp.select("fp"), radius)
     close = close.join(named_fp.toDF("a", "t1"), "a").join(named_fp.toDF("b", "other"), "b").select("t1", "other")
