@@ -44,7 +44,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     keys = docs.select(F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("doc"), "text")
     found = decontaminate.contaminations(keys.select(F.col("doc.a").alias("a"), F.col("doc.b").alias("b"), "text").withColumn("doc_id", F.concat_ws(":", "a", "b")), table(spark, sf_dir, "benchmark", "item_id", "text"))
     parts = F.split("doc_id", ":")
-    gone = found.select(parts[0].cast("long").alias("__a"), parts[1].cast("long").alias("__b")).distinct()
+    # A written table has a known size: where it is small the documents aren't shuffled.
+    gone = keep(found.select(parts[0].cast("long").alias("__a"), parts[1].cast("long").alias("__b")).distinct(), "contaminated")
     return marked.join(gone, ["__a", "__b"], "left_anti").select(*docs.columns)
 
 
