@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -177,6 +177,8 @@ LEAST_COMMON = 4
 COMMON = 1 << 18
 #: Tasks that the documents of one block are dealt out to.
 SALTS = 8
+#: Under a shared shingle a text is compared with so many partners at once, in so many rounds at most; what is left then is compared in full.
+NEAREST, ROUNDS = 2, 5
 #: 64-bit numbers of a sketch.
 SKETCH_WORDS = 16
 
@@ -249,19 +251,31 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=64 * SKETCH_WORDS) & 1).tobytes()
 
 
-def cross_pairs(t1: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of texts with different roots that number of shingles and sketch allow to be so similar."""
-    order = np.argsort(n, kind="stable")
+def cross_pairs(t1: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.ndarray, similarity: float, nearest: int | None) -> tuple[np.ndarray, bool]:
+    """Pairs of texts with different roots that number of shingles and sketch allow to be so similar, and whether these are all.
+
+    With `nearest`, a text that has more partners is paired with that many, those whose sketches
+    differ least (ties by text hash), so that the pairs grow with the number of texts.
+    """
+    order = np.lexsort((t1, n))
     t1, root, n, sketches = t1[order], root[order], n[order], sketches[order]
-    ends = np.searchsorted(n, n / similarity + 1e-6, "right")
+    starts, ends = np.searchsorted(n, n * similarity - 1e-6, "left"), np.searchsorted(n, n / similarity + 1e-6, "right")
     share = (1 - similarity) / (1 + similarity)
-    for i, end in enumerate(ends.tolist()):
-        other = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
+    found, every = [], True
+    for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
+        if nearest is None:
+            start = i + 1
+        other = start + np.flatnonzero(root[start:end] != root[i])
         if len(other):
             apart = np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            other = other[apart <= share * (n[i] + n[other]) + 1e-6]
+            fits = apart <= share * (n[i] + n[other]) + 1e-6
+            other = other[fits]
+            if nearest is not None and len(other) > nearest:
+                other = other[np.argsort(apart[fits], kind="stable")[:nearest]]
+                every = False
             if len(other):
-                yield np.minimum(t1[i], t1[other]), np.maximum(t1[i], t1[other])
+                found.append(np.stack([np.minimum(t1[i], t1[other]), np.maximum(t1[i], t1[other])], axis=1))
+    return (np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)), every
 
 
 def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -301,14 +315,14 @@ def shared_only(keyed: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, t1 long")
 
 
-def crossing(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Distinct pairs (a, b) of texts with a key in common and different roots that may be so similar, all of them.
+def crossing(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, nearest: int | None, scratch: Scratch, label: str) -> DataFrame:
+    """(a, b) of texts with a key in common and different roots that may be so similar, by cross_pairs; and (open), keys that have more.
 
     Keys with more than CHUNK texts are compared as pairs of chunks.
     """
     rooted = shared.join(roots.withColumnRenamed("node", "t1"), "t1", "left").select("key", "t1", F.coalesce("root", "t1").alias("root"))
     sizes = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
-    rooted = scratch.keep(rooted.join(sizes, "key"), "crossing")
+    rooted = scratch.keep(rooted.join(sizes, "key"), label)
     met = rooted.join(nodes.select("t1", "n", "sketch"), "t1")
     met = met.withColumn("own", F.pmod(F.xxhash64("t1"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "t1", "root", "n", "sketch")
@@ -318,22 +332,24 @@ def crossing(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         last = None
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
+        out: list[np.ndarray] = []
+        more: list[int] = []
 
         def flushed() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate([np.stack(x, axis=1) for x in out]), axis=0)
+            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0)
+            columns = [pa.array([*pairs[:, k].tolist(), *[None] * len(more)], pa.int64()) for k in (0, 1)]
+            made = pa.RecordBatch.from_arrays([*columns, pa.array([None] * len(pairs) + more, pa.int64())], names=["a", "b", "open"])
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            more.clear()
+            return made
 
         def compared() -> Iterator[pa.RecordBatch]:
-            nonlocal waiting
-            for found in cross_pairs(*[np.concatenate(x) for x in zip(*held)], similarity):
-                out.append(found)
-                waiting += len(found[0])
-                if waiting >= 1 << 16:
-                    yield flushed()
-                    waiting = 0
+            pairs, every = cross_pairs(*[np.concatenate(x) for x in zip(*held)], similarity, nearest)
+            out.append(pairs)
+            if not every:
+                more.append(last[0])
+            if sum(map(len, out)) >= 1 << 16:
+                yield flushed()
 
         for batch in batches:
             if not batch.num_rows:
@@ -352,10 +368,10 @@ def crossing(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity:
                 held.append(tuple(x[a:b] for x in columns))
         if held:
             yield from compared()
-        if out:
+        if out or more:
             yield flushed()
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "a long, b long, open long")
 
 
 def jaccard(a: bytes, b: bytes, size: int) -> float:
@@ -375,7 +391,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     cheaply: each document meets two others of each segment it has (the smallest and the largest
     text hash) and those whose fingerprints differ in at most `radius` bits. The second finds all
     that is missing: two texts that are so similar share a shingle of their prefixes, so all texts
-    under such a shingle that the first round has not put into one group are compared.
+    under such a shingle that are not in one group yet are compared. Shingles under which a text
+    has more than NEAREST possible partners in other groups are taken in rounds, the closest
+    sketches first, so that a large group grows together by links, not by all its pairs; what is
+    still apart after a round without a link, or after ROUNDS rounds, is compared pair by pair.
 
     t1 and t2 are two hashes of the text; equal texts are one node, named by t1. Null text counts
     as empty, and all wordless texts are one group. Null ids and repeated rows stay.
@@ -436,9 +455,22 @@ def _linked(texts: DataFrame, size: int, similarity: float, radius: int, scratch
         return both.mapInArrow(verify, "a long, b long")
 
     roots = components(verified(pairs, "first-texts"))
-    shared = shared_only(nodes.select(F.explode("prefix").alias("key"), "t1"))
-    missing = scratch.keep(crossing(shared, sides, roots, similarity, scratch), "missing")
-    return components(roots.toDF("a", "b").unionByName(verified(missing, "missing-texts")))
+    shared = scratch.keep(shared_only(nodes.select(F.explode("prefix").alias("key"), "t1")), "shared")
+    nearest: int | None = NEAREST
+    for number in count(1):
+        found = scratch.keep(crossing(shared, sides, roots, similarity, nearest, scratch, f"crossing-{number}"), f"found-{number}")
+        missing = scratch.keep(found.filter("a IS NOT NULL").select("a", "b").distinct(), f"missing-{number}")
+        linked = scratch.keep(verified(missing, f"missing-texts-{number}"), f"linked-{number}")
+        grown = not linked.isEmpty()
+        if grown:
+            roots = components(roots.toDF("a", "b").unionByName(linked))
+        left = scratch.keep(found.filter("open IS NOT NULL").select(F.col("open").alias("key")).distinct(), f"open-{number}")
+        if left.isEmpty():
+            break
+        shared = shared.join(left, "key", "left_semi")
+        if not grown or number == ROUNDS:
+            nearest = None
+    return roots
 
 
 def first_of_groups(docs: DataFrame, grouped: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -193,3 +193,23 @@ def test_short_texts(spark):
             texts.append(" ".join(words))
     found, want = grouped(spark, texts)
     assert len(want) == 90 and found == want
+
+
+def test_nearest_candidates_and_all():
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 62), 1 << 62, 60)
+    sets = []
+    for _ in range(40):
+        own = base.copy()
+        own[rng.choice(60, 3, replace=False)] = rng.integers(-(1 << 62), 1 << 62, 3)
+        sets.append(np.unique(own))
+    t1, root, n = np.arange(40) + 7, np.arange(40) // 2, np.array([len(s) for s in sets])
+    sketches = np.stack([np.frombuffer(simhash.sketch(s), np.uint64) for s in sets])
+    want = {(i + 7, j + 7) for i, j in itertools.combinations(range(40), 2) if root[i] != root[j] and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8}
+    every, whole = simhash.cross_pairs(t1, root, n, sketches, 0.8, None)
+    assert whole and want and want <= set(map(tuple, every.tolist()))
+    few, whole = simhash.cross_pairs(t1, root, n, sketches, 0.8, 2)
+    assert not whole and len(few) <= 80 and set(map(tuple, few.tolist())) <= set(map(tuple, every.tolist()))
+    assert set(few.ravel().tolist()) == set(t1.tolist())
+    same, whole = simhash.cross_pairs(t1, root, n, sketches, 0.8, 40)
+    assert whole and same.tolist() == every.tolist()
