@@ -181,6 +181,10 @@ SALTS = 8
 NEAREST, ROUNDS = 2, 5
 #: 64-bit numbers of a sketch.
 SKETCH_WORDS = 16
+#: Texts that are compared as one matrix.
+SMALL = 128
+#: Of a sketch's numbers, two times so many are looked at first (so few that a byte holds the differing bits).
+ROUGH = 3
 
 
 def _majority(bits: np.ndarray, cuts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -261,14 +265,26 @@ def cross_pairs(t1: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.nd
     t1, root, n, sketches = t1[order], root[order], n[order], sketches[order]
     starts, ends = np.searchsorted(n, n * similarity - 1e-6, "left"), np.searchsorted(n, n / similarity + 1e-6, "right")
     share = (1 - similarity) / (1 + similarity)
+    if len(t1) <= SMALL:
+        return _few_pairs(t1, root, n, sketches, similarity, share, nearest)
+    columns = np.ascontiguousarray(sketches[:, : 2 * ROUGH].T)
     found, every = [], True
     for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
         if nearest is None:
             start = i + 1
-        other = start + np.flatnonzero(root[start:end] != root[i])
+        limit = share * (n[i] + n[start:end]) + 1e-6
+        maybe = root[start:end] != root[i]
+        rough = np.zeros(end - start, np.uint16)
+        for k in range(0, 2 * ROUGH, ROUGH):  # a part of the sketches never differs in more bits than the whole
+            part = np.bitwise_count(columns[k, start:end] ^ columns[k, i])
+            for column in columns[k + 1 : k + ROUGH]:
+                part += np.bitwise_count(column[start:end] ^ column[i])
+            rough += part
+        other = np.flatnonzero(maybe & (rough <= limit))
         if len(other):
+            limit, other = limit[other], other + start
             apart = np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            fits = apart <= share * (n[i] + n[other]) + 1e-6
+            fits = apart <= limit
             other = other[fits]
             if nearest is not None and len(other) > nearest:
                 other = other[np.argsort(apart[fits], kind="stable")[:nearest]]
@@ -278,6 +294,21 @@ def cross_pairs(t1: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.nd
     return (np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)), every
 
 
+def _few_pairs(t1: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.ndarray, similarity: float, share: float, nearest: int | None) -> tuple[np.ndarray, bool]:
+    """cross_pairs of few texts, already in order, as one matrix."""
+    fits = (root[:, None] != root) & (n[:, None] <= n / similarity + 1e-6) & (n <= n[:, None] / similarity + 1e-6)
+    if not fits.any():
+        return np.empty((0, 2), np.int64), True
+    apart = np.bitwise_count(sketches[:, None] ^ sketches).sum(axis=2, dtype=np.int64)
+    fits &= apart <= share * (n[:, None] + n) + 1e-6
+    every = nearest is None or int(fits.sum(axis=1).max()) <= nearest
+    if not every:
+        rank = np.argsort(np.argsort(np.where(fits, apart, np.iinfo(np.int64).max), axis=1, kind="stable"), axis=1)
+        fits &= rank < nearest
+    a, b = np.nonzero(fits)
+    return np.unique(np.stack([np.minimum(t1[a], t1[b]), np.maximum(t1[a], t1[b])], axis=1), axis=0), every
+
+
 def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, count), by hash, of shingles that are common in a sample of `texts` (t1, text)."""
 
@@ -334,6 +365,7 @@ def crossing(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity:
         last = None
         out: list[np.ndarray] = []
         more: list[int] = []
+        waiting = 0
 
         def flushed() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0)
@@ -344,12 +376,16 @@ def crossing(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity:
             return made
 
         def compared() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
             pairs, every = cross_pairs(*[np.concatenate(x) for x in zip(*held)], similarity, nearest)
-            out.append(pairs)
+            if len(pairs):
+                out.append(pairs)
+                waiting += len(pairs)
             if not every:
                 more.append(last[0])
-            if sum(map(len, out)) >= 1 << 16:
+            if waiting >= 1 << 16:
                 yield flushed()
+                waiting = 0
 
         for batch in batches:
             if not batch.num_rows:

@@ -2,6 +2,7 @@ import itertools
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from fingerloom.llm import simhash
@@ -195,7 +196,9 @@ def test_short_texts(spark):
     assert len(want) == 90 and found == want
 
 
-def test_nearest_candidates_and_all():
+@pytest.mark.parametrize("small", [0, 128])
+def test_nearest_candidates_and_all(monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
     rng = np.random.default_rng(3)
     base = rng.integers(-(1 << 62), 1 << 62, 60)
     sets = []
