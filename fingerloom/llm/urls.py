@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import keep, table, text_slices
+from fingerloom.llm.common import Scratch, table, text_slices
 from fingerloom.llm.ngrams import MIX, STEP, mixed
 from fingerloom.llm.quality import logistic_fit
 
 ORDER = 5
 #: Slots of a model's table of (context, character) and of its table of contexts. They bound what
 #: is collected and broadcast, whatever the corpus; a slot that two share adds their counts.
-PAIR_SLOTS = 1 << 22
-CONTEXT_SLOTS = 1 << 20
+PAIR_SLOTS = 1 << 21
+CONTEXT_SLOTS = 1 << 19
 #: Distinct URLs of each verdict that are held back for the calibration curve: about so many, but
 #: no more than a quarter of them. All others are counted.
 CALIBRATION = 5_000
@@ -161,23 +161,25 @@ def learned(ruled: DataFrame) -> UrlModel:
     Which URLs are held back follows from a hash of them and the number of their verdict's. Without
     URLs of one verdict the curve stays as it is.
     """
-    urls = keep(ruled.filter(F.col("found").isNotNull()).select(F.col("found.verdict").alias("verdict"), "target").distinct(), "urls")
-    there = dict(urls.groupBy("verdict").count().collect())
-    share = {v: min(0.25, CALIBRATION / n) for v, n in there.items()}
-    bound = F.lit(0)
-    for verdict, part in share.items():
-        bound = F.when(F.col("verdict") == verdict, F.lit(int(part * SCALE))).otherwise(bound)
-    back = F.pmod(F.xxhash64("target"), F.lit(SCALE)) < bound
-    counts = keep(counted(urls.filter(~back)), "url-counts")
-    model = UrlModel(tables(counts, "allow"), tables(counts, "block"))
-    shared = urls.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, 1, SLICE):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.differences(part.column(1).to_pylist()))], names=["verdict", "margin"])
-
-    margins = urls.filter(back).select("verdict", "target").mapInArrow(run, "verdict string, margin double").orderBy("margin", "verdict").toArrow()
+    with Scratch(ruled.sparkSession, "urls") as scratch:
+        urls = scratch.keep(ruled.filter(F.col("found").isNotNull()).select(F.col("found.verdict").alias("verdict"), "target").distinct(), "urls")
+        there = dict(urls.groupBy("verdict").count().collect())
+        share = {v: min(0.25, CALIBRATION / n) for v, n in there.items()}
+        bound = F.lit(0)
+        for verdict, part in share.items():
+            bound = F.when(F.col("verdict") == verdict, F.lit(int(part * SCALE))).otherwise(bound)
+        back = F.pmod(F.xxhash64("target"), F.lit(SCALE)) < bound
+        counts = scratch.keep(counted(urls.filter(~back)), "url-counts")
+        model = UrlModel(tables(counts, "allow"), tables(counts, "block"))
+        shared = urls.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in text_slices(batch, 1, SLICE):
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.differences(part.column(1).to_pylist()))], names=["verdict", "margin"])
+
+        margins = urls.filter(back).select("verdict", "target").mapInArrow(run, "verdict string, margin double").orderBy("margin", "verdict").toArrow()
+        shared.destroy()
     y = np.array([int(v == "allow") for v in margins.column(0).to_pylist()])
     if len(np.unique(y)) == 2:
         model.slope, model.offset = logistic_fit(margins.column(1).to_numpy(), y)
