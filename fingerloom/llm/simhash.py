@@ -249,10 +249,45 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts:
     return shingles[np.lexsort((shingles, rank))[: n - max(1, math.ceil(similarity * n - 1e-9)) + 1]]
 
 
-def sketch(shingles: np.ndarray) -> bytes:
+def sketch(shingles: np.ndarray, words: int = SKETCH_WORDS) -> bytes:
     """A parity bit for each class of shingle hashes: two sets differ in at least as many shingles as their sketches in bits."""
-    at = (mixed(shingles.view(np.uint64)) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=64 * SKETCH_WORDS) & 1).tobytes()
+    at = (mixed(shingles.view(np.uint64)) % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * words) & 1, bitorder="little").tobytes()
+
+
+def wide_sketch(shingles: np.ndarray) -> bytes | None:
+    """A sketch with a bit or two for each shingle, in powers of two; None where sketch() has so many."""
+    words = SKETCH_WORDS
+    while 64 * words < len(shingles):
+        words *= 2
+    return sketch(shingles, words) if words > SKETCH_WORDS else None
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """Bits that two sketches differ in, the wider one folded to the other's width (which adds up the parities of its classes)."""
+    if len(a) < len(b):
+        a, b = b, a
+    wide, narrow = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    size = 8 * len(a)
+    while size > 8 * len(b):
+        size //= 2
+        wide = (wide >> size) ^ (wide & ((1 << size) - 1))
+    return (wide ^ narrow).bit_count()
+
+
+def plausible(pairs: DataFrame, sides: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of texts whose numbers of shingles and widest sketches allow to be so similar; drops no pair that is."""
+    share = (1 - similarity) / (1 + similarity)
+    own = sides.select("t1", "n", F.coalesce("wide", "sketch").alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(i).to_pylist() for i in range(2, 6)])
+            good = [sketches_differ(x, y) <= share * (m + n) + 1e-6 and min(m, n) >= similarity * max(m, n) - 1e-6 for m, x, n, y in rows]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(own.toDF("a", "na", "sa"), "a").join(own.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "sa", "nb", "sb")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def cross_pairs(t1: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.ndarray, similarity: float, nearest: int | None) -> tuple[np.ndarray, bool]:
@@ -460,9 +495,10 @@ def _linked(texts: DataFrame, size: int, similarity: float, radius: int, scratch
                 made = [pa.array([nodes[i] for i in new], pa.int64()), pa.array([f[0] for f in found], pa.int64())]
                 made.append(pa.array([np.r_[f[1], x[-FIRST_KEYS:]] for f, x in zip(found, rarest)], pa.list_(pa.int64())))
                 made += [pa.array(rarest, pa.list_(pa.int64())), pa.array([len(f[2]) for f in found], pa.int64()), pa.array([sketch(f[2]) for f in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, names=["t1", "fp", "keys", "prefix", "n", "sketch"])
+                made.append(pa.array([wide_sketch(f[2]) for f in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(made, names=["t1", "fp", "keys", "prefix", "n", "sketch", "wide"])
 
-    nodes = scratch.keep(texts.mapInArrow(run, "t1 long, fp long, keys array<long>, prefix array<long>, n long, sketch binary"), "profiles")
+    nodes = scratch.keep(texts.mapInArrow(run, "t1 long, fp long, keys array<long>, prefix array<long>, n long, sketch binary, wide binary"), "profiles")
     blocks = nodes.select("t1", F.explode("keys").alias("key"))
     ends = blocks.groupBy("key").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo < hi")
     # Rows are salted, for a block that very many documents share would be one task's.
@@ -474,9 +510,10 @@ def _linked(texts: DataFrame, size: int, similarity: float, radius: int, scratch
     close = close.join(named_fp.toDF("a", "t1"), "a").join(named_fp.toDF("b", "other"), "b").select("t1", "other")
     met = met.unionByName(close).select(F.least("t1", "other").alias("a"), F.greatest("t1", "other").alias("b")).distinct()
     # A written table, so that a text which many others meet can be split where they are joined.
-    sides = scratch.keep(nodes.groupBy("t1").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sides")
+    sides = scratch.keep(nodes.groupBy("t1").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "sides")
     pairs = met.join(sides.select("t1", "fp").toDF("a", "fa"), "a").join(sides.select("t1", "fp").toDF("b", "fb"), "b")
-    pairs = scratch.keep(pairs.filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= WIDE_RADIUS).select("a", "b"), "pairs")
+    pairs = pairs.filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= WIDE_RADIUS).select("a", "b")
+    pairs = scratch.keep(plausible(pairs, sides, similarity), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -491,19 +528,25 @@ def _linked(texts: DataFrame, size: int, similarity: float, radius: int, scratch
         return both.mapInArrow(verify, "a long, b long")
 
     roots = components(verified(pairs, "first-texts"))
-    shared = scratch.keep(shared_only(nodes.select(F.explode("prefix").alias("key"), "t1")), "shared")
+    scratch.drop("pairs", "first-texts")
+    shared = scratch.keep(shared_only(nodes.select(F.explode("prefix").alias("key"), "t1")), "shared-0")
+    scratch.drop("profiles")
     nearest: int | None = NEAREST
     for number in count(1):
         found = scratch.keep(crossing(shared, sides, roots, similarity, nearest, scratch, f"crossing-{number}"), f"found-{number}")
-        missing = scratch.keep(found.filter("a IS NOT NULL").select("a", "b").distinct(), f"missing-{number}")
+        scratch.drop(f"crossing-{number}")
+        missing = scratch.keep(plausible(found.filter("a IS NOT NULL").select("a", "b").distinct(), sides, similarity), f"missing-{number}")
         linked = scratch.keep(verified(missing, f"missing-texts-{number}"), f"linked-{number}")
+        scratch.drop(f"missing-{number}", f"missing-texts-{number}")
         grown = not linked.isEmpty()
         if grown:
             roots = components(roots.toDF("a", "b").unionByName(linked))
         left = scratch.keep(found.filter("open IS NOT NULL").select(F.col("open").alias("key")).distinct(), f"open-{number}")
+        scratch.drop(f"found-{number}", f"linked-{number}")
         if left.isEmpty():
             break
-        shared = shared.join(left, "key", "left_semi")
+        shared = scratch.keep(shared.join(left, "key", "left_semi"), f"shared-{number}")
+        scratch.drop(f"shared-{number - 1}", f"open-{number}")
         if not grown or number == ROUNDS:
             nearest = None
     return roots
