@@ -216,3 +216,21 @@ def test_nearest_candidates_and_all(monkeypatch, small):
     assert set(few.ravel().tolist()) == set(t1.tolist())
     same, whole = simhash.cross_pairs(t1, root, n, sketches, 0.8, 40)
     assert whole and same.tolist() == every.tolist()
+
+
+def test_wide_sketches_never_reject_a_similar_pair(spark):
+    rng = np.random.default_rng(11)
+    rows, wanted = [], set()
+    for k, (n, m, shared) in enumerate([(900, 1000, 860), (1000, 1100, 950), (1020, 1030, 915), (5000, 6100, 4950), (20000, 24000, 19600), (9000, 9000, 4000), (3000, 3000, 0), (1, 1, 1), (4, 5, 4)]):
+        base = rng.integers(-(2**62), 2**62, n + m - shared)
+        x, y = np.sort(base[:n]), np.sort(base[n - shared :])
+        apart = len(np.setxor1d(x, y))
+        widest = [simhash.wide_sketch(z) or simhash.sketch(z) for z in (x, y)]
+        assert simhash.sketches_differ(*widest) == simhash.sketches_differ(*widest[::-1]) <= apart
+        rows += [(2 * k + i, len(z), simhash.sketch(z), simhash.wide_sketch(z)) for i, z in enumerate((x, y))]
+        if shared / (n + m - shared) >= 0.8:
+            wanted.add((2 * k, 2 * k + 1))
+    sides = spark.createDataFrame(rows, "t1 long, n long, sketch binary, wide binary")
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(rows) // 2)], "a long, b long")
+    found = {tuple(r) for r in simhash.plausible(pairs, sides, 0.8).collect()}
+    assert wanted and found == wanted
