@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from fingerloom.llm.common import as_texts, table, text_slices
 
 #: Words kept with their tokens in a Python worker. Above it the older half goes; results don't change.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 CACHE_CHARS = 40
+#: Bytes of text that are split and merged at once; larger slices cost memory and aren't faster.
+SLICE = 1 << 20
 
 # The pre-tokeniser's pattern, for text up to U+024F without U+001C to U+001F.
 LETTERS = "a-zªµºß-öø-ɏ"
@@ -224,7 +226,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = PairIndexBpe(shared.value)
         for batch in batches:
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, SLICE):
                 rows = bpe.encode_batch(as_texts(part.column(1)))
                 columns = {
                     id_column: part.column(0),
