@@ -78,8 +78,10 @@ def file_type(mode: Column) -> Column:
 
 
 def iso_micros(ns: Column) -> Column:
-    """Fixed-width UTC text of a time in nanoseconds, truncated (floored) to microseconds; needs a UTC session."""
-    return F.date_format(F.timestamp_micros(F.floor(ns / F.lit(1000).cast("decimal(5,0)")).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """UTC text of a time in nanoseconds, truncated (floored) to microseconds, of fixed width up to the year 9999; needs a UTC session."""
+    at = F.timestamp_micros(F.floor(ns / F.lit(1000).cast("decimal(5,0)")).cast("long"))
+    shown = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.ltrim(shown, F.lit("+"))  # the sign that longer years get
 
 
 def summary_mismatch(stored: Column, now: Column) -> Column:

@@ -7,6 +7,7 @@ import random
 import duckdb
 import pytest
 
+from fingerloom.functions import metadata
 from fingerloom.operators import grouping, index, numbering, reconcile, similarity
 from fingerloom.plans import registry
 from tests.conftest import MEDIUM, SMALL
@@ -41,6 +42,25 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+LARGE_KEYS = (0, 1, 74_708, 74_709, 164_336, 3_137_477, 8_999_999)
+
+
+@pytest.fixture(scope="module")
+def large_keys(tmp_path_factory):
+    """A folder with orders that have keys as in a table of 60 times sf0.1."""
+    folder = tmp_path_factory.mktemp("large")
+    keys = ", ".join(f"({k})" for k in LARGE_KEYS)
+    duckdb.sql(f"COPY (SELECT k::BIGINT AS o_orderkey, (k // 10)::BIGINT AS o_custkey, TIMESTAMP '2020-01-01' AS o_orderdate FROM (VALUES {keys}) t(k)) TO '{folder}/orders.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def test_times_of_large_keys(spark, large_keys):
+    """From a key of 74,709 the nanoseconds take more than 64 bits, where the SQL ends in an error too."""
+    got = {r.inode: r.iso for r in registry.QUERIES["fn_iso_ns"](spark, large_keys).collect()}
+    assert got == {k: metadata.iso_ns(k * 123456789012345 + 999) for k in LARGE_KEYS}
+    assert got[8_999_999].startswith("37179-09-")
+
+
 def walked(pairs, threshold):
     """The partition by walking pairs best first."""
     placed, groups = {}, 0
