@@ -24,9 +24,10 @@ def human_size(n: float, si: bool = False) -> str:
     return (shown if len(shown) < 6 else f"{n / scales[power]:.0f}") + units[power]
 
 
-def human_size_column(n: Column, si: bool = False, drop_long: bool = True) -> Column:
-    """human_size as an expression; with drop_long=False always one decimal, as reports have it."""
+def human_size_column(n: Column, si: bool = False, drop_long: bool = True, largest: str | None = None) -> Column:
+    """human_size as an expression; with drop_long=False always one decimal, as reports have it; no unit above `largest`, if it is given."""
     base, units = (1000, DECIMAL) if si else (1024, BINARY)
+    units = units[: units.index(largest) + 1] if largest else units
     x = n.cast("double")
     shown = F.format_string("%dB", n.cast("long"))
     for power in range(1, len(units)):

@@ -54,6 +54,15 @@ def large_keys(tmp_path_factory):
     return str(folder)
 
 
+@pytest.mark.parametrize("name", ["fn_human_size"])
+def test_sizes_of_large_keys(spark, large_keys, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{large_keys}/orders.parquet'")
+    want = dict(con.execute(f"SELECT inode, shown FROM ({registry.ORACLES[name]})").fetchall())
+    got = {r.inode: r.shown for r in registry.QUERIES[name](spark, large_keys).collect()}
+    assert got == want and got[3_137_477].endswith("TiB") and len(got) == len(LARGE_KEYS)
+
+
 def test_times_of_large_keys(spark, large_keys):
     """From a key of 74,709 the nanoseconds take more than 64 bits, where the SQL ends in an error too."""
     got = {r.inode: r.iso for r in registry.QUERIES["fn_iso_ns"](spark, large_keys).collect()}
