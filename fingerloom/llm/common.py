@@ -73,6 +73,10 @@ class Scratch:
         for label in labels:
             delete(self.spark, f"{self.path}/{label}")
 
+    def settle(self) -> None:
+        """Let the driver notice now which shuffles nothing refers to any more, so that their files go before the next large step."""
+        self.spark._jvm.System.gc()
+
     def __enter__(self) -> Scratch:
         return self
 

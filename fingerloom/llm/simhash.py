@@ -179,6 +179,8 @@ COMMON = 1 << 18
 SALTS = 8
 #: Under a shared shingle a text is compared with so many partners at once, in so many rounds at most; what is left then is compared in full.
 NEAREST, ROUNDS = 2, 5
+#: 64-bit numbers of the bitmap that texts pass before they are joined (1 MB).
+SIEVE = 1 << 17
 #: 64-bit numbers of a sketch.
 SKETCH_WORDS = 16
 #: Texts that are compared as one matrix.
@@ -389,6 +391,7 @@ def crossing(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity:
     rooted = shared.join(roots.withColumnRenamed("node", "t1"), "t1", "left").select("key", "t1", F.coalesce("root", "t1").alias("root"))
     sizes = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
     rooted = scratch.keep(rooted.join(sizes, "key"), label)
+    scratch.settle()
     met = rooted.join(nodes.select("t1", "n", "sketch"), "t1")
     met = met.withColumn("own", F.pmod(F.xxhash64("t1"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "t1", "root", "n", "sketch")
@@ -445,6 +448,17 @@ def crossing(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity:
     return met.mapInArrow(run, "a long, b long, open long")
 
 
+def sifted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `texts` whose t1 has a bit that one of the `wanted` t1 has too: all that are wanted and few others, so that a join needn't shuffle every text."""
+    bit = "cast(pmod(t1, 64) AS int)"
+    word = f"cast(pmod(shiftright(t1, 6), {SIEVE}) AS int)"
+    found = wanted.select(F.expr(word).alias("word"), F.expr(f"shiftleft(1L, {bit})").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    sieve = np.zeros(SIEVE, np.int64)
+    sieve[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    one = texts.sparkSession.createDataFrame(pa.table({"sieve": pa.array([sieve], pa.list_(pa.int64()))}))
+    return texts.join(F.broadcast(one), F.expr(f"(get(sieve, {word}) & shiftleft(1L, {bit})) <> 0")).select(*texts.columns)
+
+
 def jaccard(a: bytes, b: bytes, size: int) -> float:
     """Similarity of two texts' sets of word shingles; a text of fewer words is one shingle."""
     sets = []
@@ -500,15 +514,18 @@ def _linked(texts: DataFrame, size: int, similarity: float, radius: int, scratch
 
     nodes = scratch.keep(texts.mapInArrow(run, "t1 long, fp long, keys array<long>, prefix array<long>, n long, sketch binary, wide binary"), "profiles")
     blocks = nodes.select("t1", F.explode("keys").alias("key"))
-    ends = blocks.groupBy("key").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo < hi")
+    # What meets is found in steps with a written table each, so that a step's shuffle is gone before the next one's.
+    ends = scratch.keep(blocks.groupBy("key").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo < hi"), "ends")
     # Rows are salted, for a block that very many documents share would be one task's.
     salt = F.pmod("t1", F.lit(SALTS)).cast("int")
     ends = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = blocks.withColumn("salt", salt).join(ends, ["key", "salt"]).select("t1", F.explode(F.array("lo", "hi")).alias("other")).filter("t1 <> other")
     named_fp = nodes.groupBy("fp").agg(F.min("t1").alias("t1"))
-    close = close_edges(named_fp.select("fp"), radius)
+    close = scratch.keep(close_edges(named_fp.select("fp"), radius), "close")
     close = close.join(named_fp.toDF("a", "t1"), "a").join(named_fp.toDF("b", "other"), "b").select("t1", "other")
     met = met.unionByName(close).select(F.least("t1", "other").alias("a"), F.greatest("t1", "other").alias("b")).distinct()
+    met = scratch.keep(met, "met")
+    scratch.drop("ends", "close")
     # A written table, so that a text which many others meet can be split where they are joined.
     sides = scratch.keep(nodes.groupBy("t1").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "sides")
     pairs = met.join(sides.select("t1", "fp").toDF("a", "fa"), "a").join(sides.select("t1", "fp").toDF("b", "fb"), "b")
@@ -522,19 +539,23 @@ def _linked(texts: DataFrame, size: int, similarity: float, radius: int, scratch
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("t1")).union(pairs.select(F.col("b").alias("t1"))).distinct()
-        chosen = scratch.keep(texts.join(wanted, "t1", "left_semi").dropDuplicates(["t1"]), label)
+        wanted = scratch.keep(pairs.select(F.col("a").alias("t1")).union(pairs.select(F.col("b").alias("t1"))).distinct(), f"{label}-wanted")
+        chosen = scratch.keep(sifted(texts, wanted).join(wanted, "t1", "left_semi").dropDuplicates(["t1"]), label)
+        scratch.drop(f"{label}-wanted")
         both = pairs.join(chosen.toDF("a", "ta"), "a").join(chosen.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return both.mapInArrow(verify, "a long, b long")
 
     roots = components(verified(pairs, "first-texts"))
-    scratch.drop("pairs", "first-texts")
+    scratch.drop("met", "pairs", "first-texts")
+    scratch.settle()
     shared = scratch.keep(shared_only(nodes.select(F.explode("prefix").alias("key"), "t1")), "shared-0")
     scratch.drop("profiles")
+    scratch.settle()
     nearest: int | None = NEAREST
     for number in count(1):
         found = scratch.keep(crossing(shared, sides, roots, similarity, nearest, scratch, f"crossing-{number}"), f"found-{number}")
         scratch.drop(f"crossing-{number}")
+        scratch.settle()
         missing = scratch.keep(plausible(found.filter("a IS NOT NULL").select("a", "b").distinct(), sides, similarity), f"missing-{number}")
         linked = scratch.keep(verified(missing, f"missing-texts-{number}"), f"linked-{number}")
         scratch.drop(f"missing-{number}", f"missing-texts-{number}")
@@ -558,9 +579,12 @@ def first_of_groups(docs: DataFrame, grouped: DataFrame, id_column: str = "doc_i
     Null ids come last; of rows with the same id and text one stays.
     """
     order = F.struct(F.col(id_column).isNull(), F.col(id_column).alias("id"), "t1", "t2")
-    stay = grouped.groupBy("component").agg(F.min(order).alias("w")).select(F.col("w.id").alias("__id"), F.col("w.t1").alias("__t1"), F.col("w.t2").alias("__t2"))
+    named = lambda c: {"__i": F.coalesce(c.cast("string"), F.lit("")), "__null": c.isNull()}
+    stay = grouped.groupBy("component").agg(F.min(order).alias("w")).select(F.col("w.t1").alias("__a"), F.col("w.t2").alias("__b"), *[v.alias(k) for k, v in named(F.col("w.id")).items()])
     text = F.coalesce(F.col(text_column), F.lit(""))
-    marked = docs.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit(1), text)})
-    kept = marked.join(stay, (marked["__a"] == stay["__t1"]) & (marked["__b"] == stay["__t2"]) & marked[id_column].eqNullSafe(stay["__id"]))
-    one = F.row_number().over(Window.partitionBy("__t1", "__t2", "__id").orderBy(*[c for c, kind in docs.dtypes if kind in ("string", "bigint", "int")]))
+    marked = docs.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit(1), text)} | named(F.col(id_column)))
+    # Plain keys, by which the join and the window both deal out the rows: the texts are shuffled once.
+    keys = ["__a", "__b", "__i", "__null"]
+    kept = marked.join(stay, keys)
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c, kind in docs.dtypes if kind in ("string", "bigint", "int")]))
     return kept.withColumn("__n", one).filter("__n = 1").select(*docs.columns)

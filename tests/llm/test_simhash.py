@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from fingerloom.llm import simhash
@@ -234,3 +235,28 @@ def test_wide_sketches_never_reject_a_similar_pair(spark):
     pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(rows) // 2)], "a long, b long")
     found = {tuple(r) for r in simhash.plausible(pairs, sides, 0.8).collect()}
     assert wanted and found == wanted
+
+
+def test_texts_pass_a_bitmap_before_they_are_joined(spark):
+    texts = spark.range(20000).select(F.xxhash64("id").alias("t1"), F.col("id").cast("string").alias("text"))
+    wanted = texts.filter("text % 100 = 7").select("t1")
+    kept = {r.text for r in simhash.sifted(texts, wanted).collect()}
+    assert kept >= {str(i) for i in range(7, 20000, 100)} and len(kept) < 240
+    assert simhash.sifted(texts, wanted.limit(0)).isEmpty()
+
+
+def test_kept_texts_are_shuffled_once(spark):
+    """Null ids and repeated rows too: the join and the choice among repeated rows deal out rows by the same keys."""
+    rows = [(1, "a b"), (1, "a b"), (2, "a b"), (None, "c d"), (None, "c d"), (None, "a b"), (3, "e f"), (0, "g"), (0, "h"), (0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = F.coalesce("text", F.lit(""))
+    grouped = docs.select("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.xxhash64(text).alias("component"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.first_of_groups(docs, grouped)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(1, "a b"), (None, "c d"), (3, "e f"), (0, "g"), (0, "h"), (0, None)], docs.schema).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(__a") == 2 and plan.count("Exchange hashpartitioning") == 3, plan
