@@ -123,3 +123,8 @@ def as_bytes(array: pa.Array) -> list[bytes]:
 def as_texts(array: pa.Array) -> list[str]:
     """Each text; null counts as empty."""
     return [x or "" for x in array.to_pylist()]
+
+
+def unpacked(batch: pa.RecordBatch, n: int, z: int) -> list[bytes]:
+    """Texts in zstd: column n has their bytes' number, z what they are packed as."""
+    return [pa.decompress(x, decompressed_size=size, codec="zstd", asbytes=True) if size else b"" for size, x in zip(batch.column(n).to_pylist(), batch.column(z).to_pylist())]

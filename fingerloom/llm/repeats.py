@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerloom.llm.common import Scratch, as_bytes, keep, small_batches, table
+from fingerloom.llm import passages
+from fingerloom.llm.common import Scratch, as_bytes, keep, small_batches, table, unpacked
 
 WINDOW = 400
 KMER = 64
@@ -42,6 +43,8 @@ NARROW = 13
 MERGED = 2000
 #: Context bytes that are merged at once (whole keys).
 MERGE_BYTES = 2 << 20
+#: Words of a passage that other documents may have too ("over 50").
+PASSAGE = 51
 #: Shards whose transforms are merged at once.
 SHARDS = 4
 
@@ -311,17 +314,13 @@ def _texts_table(docs: DataFrame, name: str, path: str) -> DataFrame:
     return spark.table(name)
 
 
-def _unpacked(batch: pa.RecordBatch, n: int, z: int) -> list[bytes]:
-    return [pa.decompress(x, decompressed_size=size, codec="zstd", asbytes=True) if size else b"" for size, x in zip(batch.column(n).to_pylist(), batch.column(z).to_pylist())]
-
-
 def _runs_table(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 t1, t2 = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                for which, found in text_runs(_unpacked(part, 2, 3)):
+                for which, found in text_runs(unpacked(part, 2, 3)):
                     columns = [t1[which], t2[which], found["anchor"], found["low"], found["high"], found["key"], found["context"]]
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)], names=["t1", "t2", "anchor", "low", "high", "key", "context"])
@@ -339,7 +338,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 rows = []
-                for text, found in zip(_unpacked(part, 0, 1), part.column(2).to_pylist()):
+                for text, found in zip(unpacked(part, 0, 1), part.column(2).to_pylist()):
                     rows += [(r["key"], r["context"], r["low"], r["high"], shard, text[r["anchor"] - r["high"] : r["anchor"] - r["low"] + WINDOW]) for r in found]
                 kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int8(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "context", "low", "high", "shard", "bytes"])
@@ -442,7 +441,7 @@ def _divided(contexts: DataFrame, scratch: Scratch, width: int, bound: int, then
     return _merged(contexts.join(sizes, "key", "left_anti")).unionByName(found)
 
 
-def removals(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def removals(docs: DataFrame, id_column: str = "doc_id", passage_words: int | None = None) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, repeated, n_kept and spans of every row of `docs` (id, text).
 
     A byte goes if a string of WINDOW bytes that covers it also starts anywhere else in the
@@ -451,6 +450,10 @@ def removals(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     or more. `repeated` says whether anything goes, n_kept how many bytes stay, and spans what
     goes (begin:end in bytes, the end exclusive, comma-joined). Rows with a null id and repeated
     rows stay; an empty table gives an empty result. Texts of any length are judged as a whole.
+
+    With `passage_words` there are also n_shared_words, the words in strings of so many words that
+    another row has too, and shares_passage, whether there are any. They say nothing about removal: such
+    a passage may be shorter than WINDOW bytes, and stays.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -459,13 +462,13 @@ def removals(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     name = f"fingerloom_texts_{uuid.uuid4().hex}"
     with small_batches(spark), Scratch(spark, "repeats") as scratch:
         try:
-            judged = keep(_judged(named, _texts_table(named, name, f"{scratch.path}/texts"), scratch), "judged")
+            judged = keep(_judged(named, _texts_table(named, name, f"{scratch.path}/texts"), scratch, passage_words), "judged")
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
     return named.select(id_column, "t1", "t2").join(judged, ["t1", "t2"]).drop("t1", "t2")
 
 
-def _judged(named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _judged(named: DataFrame, texts: DataFrame, scratch: Scratch, passage_words: int | None) -> DataFrame:
     """What becomes of each distinct text."""
     copies = scratch.keep(named.groupBy("t1", "t2").agg(F.count("*").alias("copies")), "copies")
     runs = scratch.keep(_runs_table(texts), "runs")
@@ -487,17 +490,27 @@ def _judged(named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     plain = live.filter("not mixed").select("t1", "t2", (F.col("anchor") - F.col("high")).alias("begin"), (F.col("anchor") - F.col("low") + WINDOW).alias("end"))
     lists = plain.unionByName(spans).groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "repeated": pa.bool_(), "n_kept": pa.int64(), "spans": pa.string()}
+    schema = "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, n_kept long, spans string"
+    every = texts.join(copies, ["t1", "t2"], "left").join(lists, ["t1", "t2"], "left").select("t1", "t2", "n", "z", "copies", "spans")
+    if passage_words:
+        kinds |= {"n_shared_words": pa.int64(), "shares_passage": pa.bool_()}
+        schema += ", n_shared_words long, shares_passage boolean"
+        every = every.join(passages.shared(texts, scratch, passage_words), ["t1", "t2"], "left")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                rows = [judged(t, c, s or []) for t, c, s in zip(_unpacked(part, 2, 3), part.column(4).to_pylist(), part.column(5).to_pylist())]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
-                made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["t1", "t2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated", "n_kept", "spans"])
+                texts, copies = unpacked(part, 2, 3), part.column(4).to_pylist()
+                rows = [judged(t, c, s or []) for t, c, s in zip(texts, copies, part.column(5).to_pylist())]
+                if passage_words:
+                    shared = [passages.count(t, passage_words, c, p or []) for t, c, p in zip(texts, copies, part.column(6).to_pylist())]
+                    rows = [(*r, n, n > 0) for r, n in zip(rows, shared)]
+                made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["t1", "t2", *kinds])
 
-    every = texts.join(copies, ["t1", "t2"], "left").join(lists, ["t1", "t2"], "left").select("t1", "t2", "n", "z", "copies", "spans")
-    return every.mapInArrow(run, "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, n_kept long, spans string")
+    return every.mapInArrow(run, schema)
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -520,4 +533,4 @@ def judged(text: bytes, copies: int, spans: list[dict[str, int]]) -> tuple[int,
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removals(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return removals(table(spark, sf_dir, "documents", "doc_id", "text"), passage_words=PASSAGE)

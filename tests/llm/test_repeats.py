@@ -1,11 +1,12 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 
-from fingerloom.llm import repeats
+from fingerloom.llm import passages, repeats
 from tests.conftest import SMALL
 
 
@@ -135,3 +136,60 @@ def test_odd_rows(spark):
     got = sorted(map(str, map(tuple, repeats.removals(docs).select("doc_id", "n_bytes", "n_removed", "n_spans").collect())))
     assert got == sorted(["(None, 600, 600, 1)"] * 2 + ["(1, 0, 0, 0)"] * 2 + ["(2, 0, 0, 0)"])
     assert repeats.removals(docs.limit(0)).count() == 0
+
+
+def shared_by_brute_force(texts, size=51):
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t in texts]
+    seen = collections.defaultdict(set)
+    for k, w in enumerate(words):
+        for i in range(len(w) - size + 1):
+            seen[tuple(w[i : i + size])].add(k)
+    out = []
+    for w in words:
+        covered = set()
+        for i in range(len(w) - size + 1):
+            if len(seen[tuple(w[i : i + size])]) > 1:
+                covered.update(range(i, i + size))
+        out.append(len(covered))
+    return out
+
+
+def wordy():
+    rng = random.Random(8)
+    draw = lambda n: [rng.choice(["a", "of", "\u00e9t\u00e9", "house", "trees", "x" * 9000, "x" * 9001]) for _ in range(n)]
+    passages, texts = [draw(n) for n in (50, 51, 52, 60, 130)], []
+    for _ in range(60):
+        text = draw(rng.randrange(70))
+        for passage in rng.sample(passages, rng.randrange(3)):
+            cut = rng.randrange(3)
+            text += passage[cut : len(passage) - rng.randrange(3)] + draw(rng.randrange(30))
+        texts.append("".join(w + rng.choice(" \n\t") for w in text))
+    alone = " ".join(draw(60))
+    return texts + [texts[0], "", " ", f"{alone} {alone}", "one " * 50, "one " * 51, "one " * 90, "two " * 200]
+
+
+def test_passages_of_other_texts(spark):
+    texts = [t.encode() for t in wordy()]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    rows = {r.doc_id: r for r in repeats.removals(docs, passage_words=51).collect()}
+    want = shared_by_brute_force(texts)
+    assert [rows[i].n_shared_words for i in range(len(texts))] == want
+    assert [rows[i].shares_passage for i in range(len(texts))] == [n > 0 for n in want]
+    assert "n_shared_words" not in repeats.removals(docs.limit(0)).columns
+
+
+def test_short_passages_of_the_query(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    want = dict(zip([r.doc_id for r in rows], shared_by_brute_force([(r.text or "").encode() for r in rows])))
+    got = repeats.op7_repeats(spark, SMALL).collect()
+    assert {r.doc_id: r.n_shared_words for r in got} == want and {r.doc_id for r in got if r.shares_passage} == {i for i, n in want.items() if n}
+
+
+def test_words_don_t_depend_on_their_neighbours():
+    texts = [t.encode() for t in wordy()]
+    together, counts = passages.words_of(texts)
+    alone = [passages.words_of([t])[0] for t in texts]
+    assert counts.tolist() == [len(a) for a in alone] == [len(re.findall(rb"[^\x20\x09-\x0D]+", t)) for t in texts]
+    assert (together == np.concatenate(alone)).all()
+    words = [w for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", t)]
+    assert len(set(words)) == len(set(together.tolist())) == len(set(zip(words, together.tolist())))
