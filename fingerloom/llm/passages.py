@@ -18,63 +18,53 @@ from pyspark.sql import functions as F
 
 from fingerloom.llm.common import Scratch, unpacked
 
-#: Words whose hash chooses anchors; a power of two.
-GRAM = 16
+#: Words whose hash chooses anchors.
+GRAM = 8
 #: Text bytes that are hashed at once (one text at least).
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
-_PLACES = 1 << 12
+_values = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_inside = np.ones(256, bool)
+_inside[[9, 10, 11, 12, 13, 32]] = False
 _tables: list[np.ndarray] = []
 
 
-def _values() -> list[np.ndarray]:
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of a factor and of its inverse, at least n of each; those for a slice are kept."""
+    if _tables and n <= len(_tables[0]):
+        return _tables
+    n = max(n, SLICE + (1 << 12))
+    made = [np.r_[np.uint64(1), np.cumprod(np.full(n, base))] for base in (_A, np.uint64(pow(int(_A), -1, 1 << 64)))]
     if not _tables:
-        rng = np.random.default_rng(23)
-        values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        values[[9, 10, 11, 12, 13, 32]] = 0  # what separates words
-        _tables.append(values)
-        _tables.append(rng.integers(1, 1 << 63, _PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-    return _tables
+        _tables.extend(x[: SLICE + (1 << 12)] for x in made)
+    return made
 
 
-def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two hashes in their order."""
-    h = (a ^ (a >> np.uint64(31))) * _A + (b ^ (b >> np.uint64(29))) * _B
-    h = (h ^ (h >> np.uint64(32))) * _A
-    return h ^ (h >> np.uint64(29))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _B
+    h = (h ^ (h >> np.uint64(29))) * _A
+    return h ^ (h >> np.uint64(32))
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all texts' words, number of words of each text); words are runs of anything but 0x20 and 0x09 to 0x0D."""
-    values, places = _values()
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    weights = values[data]
-    inside = weights != 0
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    start = np.flatnonzero(begins)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.r_[0, np.searchsorted(start, ends)])
-    if not len(start):
-        return np.empty(0, np.uint64), counts
-    at = np.arange(start[0], len(data)) - np.repeat(start, np.diff(np.r_[start, len(data)]))
-    long = at >= _PLACES
-    weights = weights[start[0] :] * places[at % _PLACES]
-    if long.any():  # a word of many places: each further lap of the table has another factor
-        weights[long] *= _both(lap := (at[long] // _PLACES).astype(np.uint64), lap) | np.uint64(1)
-    sums = np.add.reduceat(weights, start - start[0])
-    return _both(sums, sums >> np.uint64(7)), counts
-
-
-def grams(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all strings of `size` words."""
-    h, width = words, 1
-    while 2 * width <= size:
-        h = _both(h[:-width], h[width:])
-        width *= 2
-    return _both(h[: len(h) - (size - width)], h[size - width :]) if size > width else h
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    inside = _inside[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, stop = edges[::2], edges[1::2]
+    up, down = _powers(len(data))
+    sums = np.cumsum(_values[data] * up[: len(data)])
+    ends = np.cumsum([len(t) + 1 for t in texts]) + 1
+    return _mixed((sums[stop - 1] - sums[start - 1]) * down[start]), np.diff(np.r_[0, np.searchsorted(start, ends)])
+
+
+def grams(words: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """Hashes of all strings of so many words, for each size."""
+    up, down = _powers(len(words))
+    sums = np.r_[np.uint64(0), np.cumsum(words * up[: len(words)])]
+    return [(sums[n:] - sums[:-n]) * down[: max(0, len(words) - n + 1)] if n <= len(words) else words[:0] for n in sizes]
 
 
 def runs_of(words: np.ndarray, counts: np.ndarray, size: int) -> dict[str, np.ndarray] | None:
@@ -90,9 +80,9 @@ def runs_of(words: np.ndarray, counts: np.ndarray, size: int) -> dict[str, np.nd
     valid = valid[:n]
     if not valid.any():
         return None
-    gram = grams(words, GRAM)
+    gram, string = grams(words, GRAM, size)
     low = np.uint64(32)
-    packed = (gram >> low << low) | np.arange(len(gram), dtype=np.uint64)
+    packed = (_mixed(gram) >> low << low) | np.arange(len(gram), dtype=np.uint64)
     width, span = 1, size - GRAM + 1
     while 2 * width <= span:
         packed = np.minimum(packed[:-width], packed[width:])
@@ -100,14 +90,13 @@ def runs_of(words: np.ndarray, counts: np.ndarray, size: int) -> dict[str, np.nd
     if span > width:
         packed = np.minimum(packed[: len(packed) - (span - width)], packed[span - width :])
     anchor = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    string = grams(words, size)
     cut = np.r_[True, (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1])]
     first = np.flatnonzero(cut)
     last = np.r_[first[1:], n] - 1
     first, last = first[valid[first]], last[valid[first]]
     text = np.searchsorted(starts, first, "right") - 1
     where = ((anchor[first] - first) * 1024 + last - first).astype(np.uint64)
-    context = _both(_both(string[first], string[last]), where)
+    context = _mixed(_mixed(_mixed(string[first]) + string[last]) + where)
     return {"text": text, "first": first - starts[text], "last": last - starts[text], "key": gram[anchor[first]].view(np.int64), "context": context.view(np.int64)}
 
 
@@ -163,7 +152,7 @@ def _strings(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 for text, runs in zip(unpacked(part, 0, 1), part.column(2).to_pylist()):
-                    string = grams(words_of([text])[0], size)
+                    string = grams(words_of([text])[0], size)[0]
                     lengths = [r["last"] - r["first"] + 1 for r in runs]
                     whole = [np.repeat(np.array([r[k] for r in runs], np.int64), lengths) for k in ("key", "context", "least", "most")]
                     offset = np.concatenate([np.arange(x) for x in lengths])
@@ -188,9 +177,11 @@ def shared(texts: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     scratch.settle()
     each = live.groupBy("key", "context").agg(F.min("t1").alias("least"), F.max("t1").alias("most"), F.min(F.struct("t1", "t2", "first", "last")).alias("run"))
     each = scratch.keep(each, "passage-contexts")
-    mixed = each.groupBy("key").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("key")
+    # Written tables, so that what stands under a key or a string that is everywhere can be split where it is joined.
+    mixed = scratch.keep(each.groupBy("key").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("key"), "passage-mixed")
     strings = scratch.keep(_strings(texts, each.join(mixed, "key", "left_semi"), size), "passage-strings")
     several = strings.groupBy("string").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least <> most").select("string")
+    several = scratch.keep(several, "passage-several")
     some = strings.filter("least = most").join(several, "string", "left_semi").groupBy("key", "context").agg(F.collect_list("offset").alias("offsets"))
     every = each.filter("least <> most").select("key", "context", F.lit(None).cast("array<smallint>").alias("offsets"))
     found = live.join(every.unionByName(some), ["key", "context"])
